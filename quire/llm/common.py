@@ -76,3 +76,17 @@ def top(rows: DataFrame, key: str, k: int, ties: list[str], cells: int = 512) ->
     w = Window.partitionBy("_cell").orderBy(F.desc(key), *ties)
     edge = celled.filter(F.col("_cell") == cut).withColumn("chosen", F.row_number().over(w) <= k - above)
     return celled.filter(F.col("_cell") != cut).withColumn("chosen", F.col("_cell") > cut).unionByName(edge).drop("_cell")
+
+
+#: Rows of a few numbers that may be sent to every executor (about 32 MB); more are joined by a shuffle.
+SMALL = 500_000
+
+
+def sized_side(side: DataFrame, most: int = SMALL) -> DataFrame:
+    """side, stored already, with a broadcast hint where its count allows it."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _id and _h, which tell rows apart but for repeated ones."""
+    return docs.withColumn("_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64(docs["doc_id"], docs["text"]))

@@ -23,5 +23,17 @@ def op10_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_mixing, op10_packing)}
+def op7_fingerprints(spark, sf_dir):
+    from quire.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark, sf_dir):
+    from quire.llm.quality import op9_rows
+
+    return op9_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op6_mixing, op7_fingerprints, op9_quality, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
