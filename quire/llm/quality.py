@@ -1,12 +1,12 @@
 """Quality by importance resampling.
 
-Two generative models over hashed words and word pairs, one of target text (labelled good, not toxic) and one of
-all documents, give each document the log ratio of its probabilities, taken at a standard length so that
-long documents are not favoured. Gumbel noise added to it turns the top k into a sample without
+Two generative models over hashed n-grams (words and word pairs; four bytes in a row), one of target text (labelled
+good, not toxic) and one of all documents, give each document the log ratio of its probabilities, taken at a
+standard length so that long documents are not favoured. Gumbel noise added to it turns the top k into a sample without
 replacement by importance.
 
-The target model is fitted on at most `sample` labelled rows (those of smallest hash); the other model
-counts every document. k is the number of documents above the ratio that best parts labelled good from labelled bad.
+At most `sample` labelled rows are used (those of smallest hash): two thirds fit the target model, the others choose the
+ratio that best parts good from bad. The other model counts every document, and k is the number of documents above that ratio.
 
 Defined cases: null and empty texts, and texts without words, have ratio 0 for want of evidence (n_grams 0) and are
 rejected; labels without documents are ignored, a document labelled twice counts by its best label; without
@@ -18,37 +18,45 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import keyed, stash, top, unit
-from quire.llm.shingling import mixed, word_hashes
+from quire.llm.shingling import mixed, slices, word_hashes
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 SAMPLE = 20_000
 LENGTH = 512
 
 
-def grams(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and owner of each word and each pair of neighbouring words."""
+def grams(texts: pa.Array, buckets: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Bucket and owner of each word and pair of neighbouring words, and (buckets further on) of each four bytes in a row."""
+    m = np.uint64(buckets)
     h, start = word_hashes(texts)
     owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
     pair = owner[:-1] == owner[1:]
     two = mixed(h[:-1] * np.uint64(3) + h[1:])[pair]
-    m = np.uint64(buckets)
-    return (np.concatenate([mixed(h), two]) % m).astype(np.int64), np.concatenate([owner, owner[:-1][pair]])
+    words = (np.concatenate([mixed(h), two]) % m).astype(np.int64), np.concatenate([owner, owner[:-1][pair]])
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    byte = np.frombuffer(b"".join(texts.to_pylist()), np.uint8).astype(np.uint32)
+    of = np.repeat(np.arange(len(size)), size)
+    whole = of[:-3] == of[3:]
+    four = (byte[:-3] | byte[1:-2] << 8 | byte[2:-1] << 16 | byte[3:] << 24)[whole]
+    return words, ((mixed(four.astype(np.uint64)) % m).astype(np.int64) + buckets, of[:-3][whole])
 
 
 def counts(rows: DataFrame, buckets: int) -> DataFrame:
     """bucket, raw, target: counts over all rows, and over those whose good is 1."""
 
     def each(batches):
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for b in batches:
-            x, owner = grams(b.column("text"), buckets)
-            raw += np.bincount(x, minlength=buckets)
+        raw, target = np.zeros(2 * buckets, np.int64), np.zeros(2 * buckets, np.int64)
+        for b in (x for whole in batches for x in slices(whole)):
             good = b.column("good").fill_null(0).to_numpy(zero_copy_only=False) == 1
-            target += np.bincount(x[good[owner]], minlength=buckets)
+            for x, owner in grams(b.column("text"), buckets):
+                raw += np.bincount(x, minlength=2 * buckets)
+                target += np.bincount(x[good[owner]], minlength=2 * buckets)
         at = np.flatnonzero(raw)
         for i in range(0, len(at), 50_000):
             k = at[i : i + 50_000]
@@ -59,47 +67,52 @@ def counts(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def log_ratio(model: pa.Table, buckets: int) -> np.ndarray:
-    """Log of target over raw probability by bucket, one added to every count. `model` has `buckets` rows at most."""
-    raw, target = np.ones(buckets), np.ones(buckets)
+    """Log of target over raw probability by bucket, one added to every count. `model` has two rows a bucket at most."""
+    raw, target = np.ones(2 * buckets), np.ones(2 * buckets)
     at = model["bucket"].to_numpy()
     raw[at] += model["raw"].to_numpy()
     target[at] += model["target"].to_numpy()
-    return (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
+    raw, target = raw.reshape(2, buckets), target.reshape(2, buckets)
+    return np.log(target / target.sum(axis=1)[:, None] / (raw / raw.sum(axis=1)[:, None])).ravel().astype(np.float32)
 
 
-def threshold(good: np.ndarray, bad: np.ndarray) -> float | None:
-    """The ratio below which labelled bad most exceed labelled good (as parts of their kind)."""
+def threshold(good: np.ndarray, bad: np.ndarray, dear: float = 5.0) -> float | None:
+    """The ratio below which labelled bad most exceed `dear` times labelled good (as parts of their kind)."""
     if not len(good) or not len(bad):
         return None
     x = np.unique(np.concatenate([good, bad]))
-    gain = np.searchsorted(np.sort(bad), x) / len(bad) - np.searchsorted(np.sort(good), x) / len(good)
+    gain = np.searchsorted(np.sort(bad), x) / len(bad) - dear * np.searchsorted(np.sort(good), x) / len(good)
     best = int(gain.argmax())
     return float((x[best] + x[max(best - 1, 0)]) / 2)
 
 
 def score(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE, length: int = LENGTH, seed: int = 11) -> DataFrame:
-    """doc_id, _id, _h, n_grams, log_ratio, key, chosen: a row for each document."""
+    """doc_id, _id, _h, held, n_grams, log_ratio, key, chosen: a row for each document."""
     spark = docs.sparkSession
-    good = F.max(((labels["quality"] == 1) & (F.coalesce(labels["toxic"], F.lit(0)) == 0)).cast("int")).alias("good")
-    picked = labels.filter(labels["doc_id"].isNotNull() & labels["quality"].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("_lid")).agg(good)
+    good = F.max(((labels["quality"] == 1) & (F.coalesce(labels["toxic"], F.lit(0)) == 0)).cast("int")).alias("_good")
+    fine = F.max((labels["quality"] == 1).cast("int")).alias("_fine")
+    picked = labels.filter(labels["doc_id"].isNotNull() & labels["quality"].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("_lid")).agg(good, fine)
     picked = picked.orderBy(F.xxhash64(F.lit(seed), "_lid"), "_lid").limit(sample)  # at most `sample` rows
+    held = F.pmod(F.xxhash64(F.lit(seed + 1), "_lid"), F.lit(3)) == 0  # a third, to choose the threshold by
+    picked = picked.select("_lid", F.when(~held, F.col("_good")).alias("good"), F.when(held, F.col("_fine")).alias("held"))
     rows = keyed(docs.select("doc_id", "text")).join(F.broadcast(picked), F.col("_id") == F.col("_lid"), "left").drop("_lid")
     weights = spark.sparkContext.broadcast(log_ratio(counts(rows, buckets).toArrow(), buckets))
 
     def each(batches):
         w = weights.value
-        for b in batches:
-            x, owner = grams(b.column("text"), buckets)
-            n = np.bincount(owner, minlength=b.num_rows)
-            total = np.bincount(owner, weights=w[x], minlength=b.num_rows)
-            ratio = np.where(n > 0, total / np.maximum(n, 1) * length, 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "_id", "_h", "good")), pa.array(n), pa.array(ratio)], ["doc_id", "_id", "_h", "good", "n_grams", "log_ratio"])
+        for b in (x for whole in batches for x in slices(whole)):
+            ratio, n_words = np.zeros(b.num_rows), None
+            for x, owner in grams(b.column("text"), buckets):
+                n = np.bincount(owner, minlength=b.num_rows)
+                n_words = n if n_words is None else n_words
+                ratio += np.bincount(owner, weights=w[x], minlength=b.num_rows) / np.maximum(n, 1) * (length / 2)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "_id", "_h", "held")), pa.array(n_words), pa.array(np.where(n_words > 0, ratio, 0.0))], ["doc_id", "_id", "_h", "held", "n_grams", "log_ratio"])
 
     noise = -F.log(-F.log(unit(F.lit(seed), F.col("_h"))))
     kind = dict(docs.dtypes)["doc_id"]
-    scored = stash(rows.mapInArrow(each, f"doc_id {kind}, _id long, _h long, good int, n_grams long, log_ratio double").withColumn("key", F.when(F.col("n_grams") > 0, F.col("log_ratio") + noise).otherwise(float("-inf"))))
-    known = scored.filter("good is not null and n_grams > 0").select("good", "log_ratio").toArrow()  # `sample` rows and their repeats
-    of = known["good"].to_numpy()
+    scored = stash(rows.mapInArrow(each, f"doc_id {kind}, _id long, _h long, held int, n_grams long, log_ratio double").withColumn("key", F.when(F.col("n_grams") > 0, F.col("log_ratio") + noise).otherwise(float("-inf"))))
+    known = scored.filter("held is not null and n_grams > 0").select("held", "log_ratio").toArrow()  # `sample` rows and their repeats
+    of = known["held"].to_numpy()
     cut = threshold(known["log_ratio"].to_numpy()[of == 1], known["log_ratio"].to_numpy()[of == 0])
     k = scored.filter((F.col("n_grams") > 0) & (F.col("log_ratio") >= F.lit(float("-inf") if cut is None else cut))).count()
     return top(scored, "key", k, ["_id", "_h"])

@@ -62,3 +62,13 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h, owner = h[new], owner[new]
     return h, np.searchsorted(owner, np.arange(len(n) + 1))
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 22):
+    """The batch in slices of about `most` bytes of text, so that a worker's arrays stay small; one very long text is one slice."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
