@@ -5,6 +5,12 @@ from __future__ import annotations
 from quire.llm.common import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    from quire.llm.line_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op2_sharding(spark, sf_dir):
     from quire.llm.sharding import shard
 
@@ -29,11 +35,36 @@ def op7_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark, sf_dir):
+    from quire.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark, sf_dir):
     from quire.llm.quality import op9_rows
 
     return op9_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_mixing, op7_fingerprints, op9_quality, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op6_mixing, op7_fingerprints, op8_html_text, op9_quality, op10_packing)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents
+), counted AS (
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM lines
+), placed AS (
+  SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM counted WHERE w > 0
+), ahead AS (
+  SELECT doc_id, pos, max(pos) OVER f AS last, list(line) OVER f AS run, sum(w) OVER f AS words FROM placed
+  WINDOW f AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 31 FOLLOWING)
+), ranked AS (
+  SELECT doc_id, pos, last, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM ahead WHERE words >= 32
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM ranked WHERE nth > 1
+)
+SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
+""",
+}
