@@ -17,6 +17,12 @@ def op2_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_ngram_join(spark, sf_dir):
+    from quire.llm.ngram_join import components
+
+    return components(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     from quire.llm.mixing import mix
 
@@ -47,7 +53,7 @@ def op9_quality(spark, sf_dir):
     return op9_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op6_mixing, op7_fingerprints, op8_html_text, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_ngram_join, op6_mixing, op7_fingerprints, op8_html_text, op9_quality, op10_packing)}
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH lines AS (
