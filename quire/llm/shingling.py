@@ -27,13 +27,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
     coded = flat.dictionary_encode()
     if not len(coded.dictionary):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    each = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+    each = pd.util.hash_array(coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False), categorize=False)
     hashes = each[coded.indices.to_numpy()]
     full = pc.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
     if not full.all():
@@ -71,4 +73,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 22):
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
-            yield batch.slice(a, b - a)
+            yield batch.take(pa.array(np.arange(a, b)))  # a copy: string kernels misread arrays that begin inside a buffer
