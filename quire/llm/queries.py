@@ -23,6 +23,12 @@ def op3_ngram_join(spark, sf_dir):
     return components(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark, sf_dir):
+    from quire.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark, sf_dir):
     from quire.llm.neighbours import nearest
 
@@ -59,7 +65,7 @@ def op9_quality(spark, sf_dir):
     return op9_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_ngram_join, op5_neighbours, op6_mixing, op7_fingerprints, op8_html_text, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_ngram_join, op4_license_scan, op5_neighbours, op6_mixing, op7_fingerprints, op8_html_text, op9_quality, op10_packing)}
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH lines AS (
