@@ -163,7 +163,10 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
         names = sorted({*inside, *outside})
         yield pa.RecordBatch.from_pydict({"kind": names, "i": [inside.get(k, 0) for k in names], "o": [outside.get(k, 0) for k in names]}, schema=pa.schema([("kind", pa.string()), ("i", pa.int64()), ("o", pa.int64())]))
 
-    picked = pages.filter(F.col("html").rlike("(?i)<(article|main)\\b")).select("html").orderBy(F.xxhash64("html")).limit(sample)
+    marked = pages.filter(F.col("html").rlike("(?i)<(article|main)\\b")).select("html", F.xxhash64("html").alias("h"))
+    # only hashes are ordered; equal pages are one, so that copies do not fill the sample
+    cut = marked.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    picked = marked.filter(F.col("h") <= F.lit(cut)).dropDuplicates(["h"]) if cut is not None else marked.limit(0)
     rows = picked.mapInArrow(each, "kind string, i long, o long").groupBy("kind").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).collect()  # kinds are a fixed list
     return {r.kind: weight(r.kind, r.i, r.o) for r in rows}
 
