@@ -1,4 +1,548 @@
-"""Named queries and their SQL."""
+"""Named queries over the test tables, and the same in SQL for a second engine.
+
+Books are made of conversations: a first heading for the conversation, a second for each turn. Fixtures are given
+as VALUES, which both engines read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.operators import anchors, batch, blocks, layout, structure, summaries
+from quire.sources import registry
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+MIN, THRESHOLD, CHUNK = 20, 120, 60
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _values(spark: SparkSession, values: str, names: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM (VALUES {values}) AS t({names})")
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), "text")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("t")))), lambda x: x["t"]), "\n\n")
+    per = _table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(joined.alias("_parts"))
+    return per.select("doc_id", F.concat(F.lit("# Conversation "), F.col("doc_id").cast("string"), F.lit("\n\n"), "_parts").alias("md"))
+
+
+BOOKS = """books AS (
+  SELECT conv_id AS doc_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS md
+  FROM conversations GROUP BY conv_id
+)"""
+WORDS = r"len(regexp_extract_all({0}, '\S+'))"
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def _w(x: str) -> str:
+    return WORDS.format(x)
+
+
+def _s(x: str) -> str:
+    return STRIP.format(x)
+
+
+# ---- documents
+
+@query(f"SELECT doc_id, {_w('text')}::BIGINT AS words FROM documents")
+def word_stats(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_w('text')}::BIGINT AS words FROM documents),
+t AS (SELECT *, greatest(150, trunc(words * 0.10::DOUBLE)::BIGINT) AS target FROM d)
+SELECT doc_id, words, CASE WHEN words < 20000 THEN 'single' ELSE 'long' END AS mode, target, target >= words * 0.5::DOUBLE AS verbatim FROM t""")
+def plan_documents(spark, sf_dir):
+    """Words, plan mode, target and whether a section of this size would be kept as it is."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
+    t = d.withColumn("target", T.target_words(F.col("words")))
+    return t.select("doc_id", "words", F.when(F.col("words") < structure.CHAPTER_THRESHOLD, "single").otherwise("long").alias("mode"), "target", (F.col("target") >= F.col("words") * summaries.LEAST_COMPRESSION).alias("verbatim"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\S+')) <= 40 THEN text
+ELSE array_to_string(list_slice(regexp_extract_all(text, '\S+'), 1, 40), ' ') || ' …' END AS cut FROM documents""")
+def truncate_context(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.truncated(F.col("text"), 40).alias("cut"))
+
+
+# ---- structure
+
+HEADS = rf"""WITH {BOOKS}, lines AS (
+  SELECT doc_id, unnest(range(len(string_split(md, chr(10)))))::BIGINT AS line, unnest(string_split(md, chr(10))) AS text FROM books
+), heads AS (
+  SELECT doc_id, line, len(regexp_extract(text, '^(#{{1,6}})\s+(.+?)\s*#*\s*$', 1))::BIGINT AS level, {_s("regexp_extract(text, '^(#{1,6})\\s+(.+?)\\s*#*\\s*$', 2)".replace(chr(92) * 2, chr(92)))} AS title
+  FROM lines WHERE regexp_matches(text, '^(#{{1,6}})\s+(.+?)\s*#*\s*$')
+)"""
+
+
+@query(f"{HEADS} SELECT doc_id, line, level, title FROM heads")
+def heading_scan(spark, sf_dir):
+    return structure.headings(_books(spark, sf_dir)).select("doc_id", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "title")
+
+
+FENCES = "('a', '# A\n```\n# no\n~~~\n# no\n```\n## B'), ('b', '~~~\n# no\n```\n# no'), ('c', '# x #\n   ```py\n## no\n````\n#nospace\n### C ##'), ('d', 'none')"
+
+
+@query("SELECT * FROM (VALUES ('a', 0, 1, 'A'), ('a', 6, 2, 'B'), ('c', 0, 1, 'x'), ('c', 5, 3, 'C')) AS t(doc_id, line, level, title)")
+def fenced_headings(spark, sf_dir):
+    return structure.headings(_values(spark, FENCES.replace("\n", "\\n"), "doc_id, md"))
+
+
+@query(f"""{HEADS}, counted AS (SELECT doc_id, level FROM heads GROUP BY doc_id, level HAVING count(*) >= 2)
+SELECT b.doc_id, coalesce(min(c.level), 0)::BIGINT AS split_level FROM books b LEFT JOIN counted c ON b.doc_id = c.doc_id GROUP BY b.doc_id""")
+def split_level(spark, sf_dir):
+    books = _books(spark, sf_dir)
+    found = structure.split_levels(structure.headings(books))
+    return books.join(found, "doc_id", "left").select("doc_id", F.coalesce("split_level", F.lit(0)).cast("long").alias("split_level"))
+
+
+SECTIONS = rf"""{HEADS}, counted AS (SELECT doc_id, level FROM heads GROUP BY doc_id, level HAVING count(*) >= 2),
+levels AS (SELECT doc_id, min(level) AS split FROM counted GROUP BY doc_id),
+cut AS (
+  SELECT l.doc_id, l.line, l.text, h.title, lv.split, count(h.title) OVER (PARTITION BY l.doc_id ORDER BY l.line) AS sec
+  FROM lines l JOIN levels lv ON l.doc_id = lv.doc_id LEFT JOIN heads h ON h.doc_id = l.doc_id AND h.line = l.line AND h.level = lv.split
+), bodies AS (
+  SELECT doc_id, split, sec, max(title) AS title, coalesce({_s("string_agg(text, chr(10) ORDER BY line) FILTER (WHERE title IS NULL)")}, '') AS body FROM cut GROUP BY doc_id, split, sec
+), fronted AS (
+  SELECT *, coalesce(max(CASE WHEN sec = 0 THEN body END) OVER (PARTITION BY doc_id), '') AS front FROM bodies
+), parts AS (
+  SELECT doc_id, split, sec, CASE WHEN sec = 0 THEN 'Front matter' ELSE title END AS title,
+    CASE WHEN sec = 1 AND {_w('front')} < {MIN} AND front <> '' THEN {_s("front || chr(10) || chr(10) || body")} ELSE body END AS body
+  FROM fronted WHERE sec > 0 OR {_w('front')} >= {MIN}
+)"""
+
+
+@query(f"{SECTIONS} SELECT doc_id, sec::BIGINT AS pos, title, body FROM parts")
+def sections(spark, sf_dir):
+    return structure.raw_sections(_books(spark, sf_dir), MIN).select("doc_id", F.col("pos").cast("long").alias("pos"), "title", "body")
+
+
+MERGED = rf"""{SECTIONS}, folded AS (
+  SELECT doc_id, any_value(split) AS split, list(sec ORDER BY sec) AS secs, list_reduce(list({{'sec': sec::BIGINT, 'w': ({_w('body')})::BIGINT, 'h': ({_w('title')})::BIGINT + 1}} ORDER BY sec),
+    lambda acc, x: {{'carry': CASE WHEN acc.carry + x.w < {MIN} THEN acc.carry + x.w + x.h ELSE 0 END, 'ends': CASE WHEN acc.carry + x.w < {MIN} THEN acc.ends ELSE list_append(acc.ends, x.sec) END}},
+    {{'carry': 0::BIGINT, 'ends': []::BIGINT[]}}) AS f
+  FROM parts GROUP BY doc_id
+), homes AS (
+  SELECT p.doc_id, p.split, p.sec, p.title, p.body, f.f.ends AS ends, list_filter(f.f.ends, lambda e: e >= p.sec)[1] AS home FROM parts p JOIN folded f ON p.doc_id = f.doc_id
+), pieces AS (
+  SELECT doc_id, split, coalesce(home, ends[len(ends)], -1) AS k, CASE WHEN home = sec THEN title END AS own, len(ends) = 0 AS lone,
+    unnest(CASE WHEN home = sec THEN [{{'o': 3, 'k': sec, 't': body}}] ELSE [{{'o': CASE WHEN home IS NULL THEN 4 ELSE 1 END, 'k': -sec, 't': repeat('#', split) || ' ' || title}}, {{'o': CASE WHEN home IS NULL THEN 5 ELSE 2 END, 'k': sec, 't': body}}] END) AS p FROM homes
+), merged AS (
+  SELECT doc_id, k, bool_or(lone) AS lone, max(own) AS own, any_value(split) AS split, {_s("string_agg(p.t, chr(10) || chr(10) ORDER BY p.o, p.k) FILTER (WHERE p.t <> '')")} AS body FROM pieces GROUP BY doc_id, k
+), final AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS pos, CASE WHEN lone THEN '' ELSE own END AS title, (CASE WHEN lone THEN 1 ELSE split END)::BIGINT AS level, body FROM merged
+)"""
+
+
+@query(f"{MERGED} SELECT doc_id, pos, title, level, body FROM final")
+def merge_thin(spark, sf_dir):
+    out = structure.merged_sections(structure.raw_sections(_books(spark, sf_dir), MIN), MIN)
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "title", F.col("level").cast("long").alias("level"), "body")
+
+
+def _chunked(source: str, key: str) -> str:
+    return rf"""paragraphs AS (
+  SELECT {key} AS doc_id, unnest(range(len(list_filter(regexp_split_to_array(md, '\n\s*\n'), lambda p: regexp_matches(p, '\S')))))::BIGINT AS i, unnest(list_filter(regexp_split_to_array(md, '\n\s*\n'), lambda p: regexp_matches(p, '\S'))) AS p FROM {source}
+), packs AS (
+  SELECT doc_id, list_reduce(list({{'i': i, 'w': ({_w('p')})::BIGINT}} ORDER BY i),
+    lambda a, x: {{'words': CASE WHEN a.words + x.w > {CHUNK} AND x.i > a.last THEN x.w ELSE a.words + x.w END, 'last': CASE WHEN a.words + x.w > {CHUNK} AND x.i > a.last THEN x.i ELSE a.last END, 'breaks': CASE WHEN a.words + x.w > {CHUNK} AND x.i > a.last THEN list_append(a.breaks, x.i) ELSE a.breaks END}},
+    {{'words': 0::BIGINT, 'last': 0::BIGINT, 'breaks': []::BIGINT[]}}) AS f FROM paragraphs GROUP BY doc_id
+), breaks AS (
+  SELECT doc_id, CASE WHEN len(f.breaks) > 0 AND f.words < {CHUNK} * 0.25 THEN list_slice(f.breaks, 1, len(f.breaks) - 1) ELSE f.breaks END AS b FROM packs
+), chunked AS (
+  SELECT p.doc_id, (len(list_filter(b.b, lambda x: x <= p.i)) + 1)::BIGINT AS pos, p.i, p.p FROM paragraphs p JOIN breaks b ON p.doc_id = b.doc_id
+), pieces_of AS (
+  SELECT doc_id, pos, 'Part ' || pos AS title, string_agg(p, chr(10) || chr(10) ORDER BY i) AS body FROM chunked GROUP BY doc_id, pos
+)"""
+
+
+@query(f"WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS md FROM documents), {_chunked('d', 'doc_id')} SELECT doc_id, pos, title, body FROM pieces_of")
+def chunk_pack(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("md"))
+    return structure.chunks(d, CHUNK).select("doc_id", F.col("pos").cast("long").alias("pos"), "title", "body")
+
+
+PLANNED = rf"""{MERGED}, sized AS (SELECT doc_id, {_s('md')} AS md, {_w('md')}::BIGINT AS total_words FROM books),
+kept AS (SELECT doc_id, count(*)::BIGINT AS n FROM final GROUP BY doc_id HAVING count(*) >= 2),
+rest AS (SELECT s.doc_id, s.md FROM sized s WHERE s.total_words >= {THRESHOLD} AND s.doc_id NOT IN (SELECT doc_id FROM kept)), {_chunked('rest', 'doc_id')},
+planned AS (
+  SELECT doc_id, 'single' AS mode, 1::BIGINT AS pos, '' AS title, 1::BIGINT AS level, md AS body FROM sized WHERE total_words < {THRESHOLD}
+  UNION ALL SELECT f.doc_id, 'chapters', f.pos, f.title, f.level, f.body FROM final f JOIN sized s ON f.doc_id = s.doc_id AND s.total_words >= {THRESHOLD} WHERE f.doc_id IN (SELECT doc_id FROM kept)
+  UNION ALL SELECT doc_id, 'chunks', pos, title, 1::BIGINT, body FROM pieces_of
+), counted_plan AS (SELECT p.*, s.total_words, {_w('p.body')}::BIGINT AS word_count, (count(*) OVER (PARTITION BY p.doc_id))::BIGINT AS total FROM planned p JOIN sized s ON p.doc_id = s.doc_id),
+aimed AS (
+  SELECT *, greatest(8, trunc((CASE WHEN mode = 'single' THEN total_words ELSE word_count END) * 0.10::DOUBLE)::BIGINT) AS target,
+    CASE WHEN title = '' THEN (CASE WHEN mode = 'chapters' THEN 'Chapter ' ELSE 'Part ' END) || pos ELSE title END AS heading,
+    CASE WHEN title = '' THEN body ELSE {_s("repeat('#', greatest(level, 1)::INT) || ' ' || title || chr(10) || chr(10) || body")} END AS text FROM counted_plan
+), summed AS (
+  SELECT *, mode <> 'single' AND target >= word_count * 0.5::DOUBLE AS verbatim,
+    CASE WHEN mode <> 'single' AND target >= word_count * 0.5::DOUBLE THEN {_s('body')} ELSE array_to_string(list_slice(regexp_extract_all(text, '\S+'), 1, target), ' ') END AS summary FROM aimed
+), carried AS (
+  SELECT *, coalesce(last_value(CASE WHEN NOT verbatim THEN CASE WHEN len(regexp_extract_all(summary, '\S+')) <= 400 THEN summary ELSE array_to_string(list_slice(regexp_extract_all(summary, '\S+'), 1, 400), ' ') || ' …' END END IGNORE NULLS)
+    OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS previous FROM summed
+), titled AS (SELECT b.doc_id, coalesce((SELECT arg_min(h.title, h.line) FROM heads h WHERE h.doc_id = b.doc_id AND h.level = 1 AND h.title <> ''), 'untitled') AS doc_title FROM books b),
+joined AS (SELECT doc_id, string_agg('## ' || heading || chr(10) || summary, chr(10) || chr(10) ORDER BY pos) AS j FROM carried WHERE mode <> 'single' GROUP BY doc_id),
+seen AS (SELECT doc_id, array_to_string(list_slice(regexp_extract_all(j, '\S+'), 1, 300), ' ') AS overview FROM joined),
+assembled AS (
+  SELECT c.doc_id, any_value(c.mode) AS mode, any_value(c.total_words) AS total_words, count(*)::BIGINT AS sections, any_value(t.doc_title) AS title,
+    (sum({_w('c.summary')}) + CASE WHEN any_value(c.mode) = 'single' THEN 0 ELSE coalesce(any_value({_w('o.overview')}), 0) END)::BIGINT AS summary_words,
+    CASE WHEN any_value(c.mode) = 'single' THEN '# Summary of ' || any_value(t.doc_title) || chr(10) || chr(10) || any_value(c.summary) || chr(10)
+      ELSE regexp_replace('# Summary of ' || any_value(t.doc_title) || chr(10) || chr(10) || '## Overview' || chr(10) || chr(10) || {_s('any_value(o.overview)')} || chr(10) || chr(10) || string_agg('## ' || c.pos || '. ' || c.heading || chr(10) || chr(10) || {_s('c.summary')}, chr(10) || chr(10) ORDER BY c.pos), '\s+$', '') || chr(10) END AS md
+  FROM carried c JOIN titled t ON c.doc_id = t.doc_id LEFT JOIN seen o ON c.doc_id = o.doc_id GROUP BY c.doc_id
+)"""
+
+
+def _planned(spark, sf_dir) -> DataFrame:
+    return structure.plan(_books(spark, sf_dir), THRESHOLD, MIN, CHUNK)
+
+
+def _lead(spark, sf_dir) -> DataFrame:
+    return summaries.lead(summaries.targets(_planned(spark, sf_dir), least=8))
+
+
+def _assembled(spark, sf_dir) -> DataFrame:
+    rows, titles = _lead(spark, sf_dir), structure.titles(_books(spark, sf_dir), F.lit("untitled"))
+    return summaries.assembled(rows, titles, summaries.overviews(rows, titles))
+
+
+@query(f"{PLANNED} SELECT doc_id, mode, pos, total, title, level, word_count, total_words, md5(body) AS body_md5 FROM counted_plan")
+def plan_books(spark, sf_dir):
+    p = _planned(spark, sf_dir)
+    return p.select("doc_id", "mode", F.col("pos").cast("long").alias("pos"), "total", "title", F.col("level").cast("long").alias("level"), "word_count", "total_words", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@query(f"{PLANNED} SELECT doc_id, pos, heading, target, verbatim, md5(summary) AS summary_md5, md5(previous) AS previous_md5 FROM carried")
+def carry_context(spark, sf_dir):
+    r = _lead(spark, sf_dir)
+    return r.select("doc_id", F.col("pos").cast("long").alias("pos"), "heading", F.col("target_words").alias("target"), "verbatim", F.md5(F.col("summary").cast("binary")).alias("summary_md5"), F.md5(F.col("previous").cast("binary")).alias("previous_md5"))
+
+
+@query(rf"""{PLANNED} SELECT doc_id, pos, md5(CASE WHEN mode = 'single' THEN 'Summarize the document below in approximately ' || target || ' words.' || chr(10) || chr(10) || '<document>' || chr(10) || text || chr(10) || '</document>'
+ELSE 'This is section ' || pos || ' of ' || total || ' of a document.' || chr(10) || chr(10) || CASE WHEN title <> '' THEN 'Its heading is: "' || title || '"' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN previous <> '' THEN 'For continuity only, here is your summary of the PREVIOUS section. Do not summarize it again and do not repeat its content:' || chr(10) || chr(10) || '<previous_summary>' || chr(10) || previous || chr(10) || '</previous_summary>' || chr(10) || chr(10) ELSE '' END
+  || 'Summarize the section below in approximately ' || target || ' words.' || chr(10) || chr(10) || '<section>' || chr(10) || text || chr(10) || '</section>' END) AS user_md5 FROM carried WHERE NOT verbatim""")
+def section_requests(spark, sf_dir):
+    return _lead(spark, sf_dir).filter(~F.col("verbatim")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("user").cast("binary")).alias("user_md5"))
+
+
+@query(rf"""{PLANNED} SELECT j.doc_id, 'Document title: "' || t.doc_title || '"' || chr(10) || chr(10) || 'Write an overview of approximately 300 words, based on these section summaries.' || chr(10) || chr(10) || '<section_summaries>' || chr(10) || j.j || chr(10) || '</section_summaries>' AS "user" FROM joined j JOIN titled t ON j.doc_id = t.doc_id""")
+def overview_requests(spark, sf_dir):
+    return summaries.overviews(_lead(spark, sf_dir), structure.titles(_books(spark, sf_dir), F.lit("untitled"))).select("doc_id", "user")
+
+
+@query(f"{PLANNED} SELECT doc_id, title, mode, sections, summary_words, total_words, md FROM assembled")
+def assembled_summaries(spark, sf_dir):
+    return _assembled(spark, sf_dir).select("doc_id", "title", "mode", "sections", "summary_words", "total_words", "md")
+
+
+@query(rf"""{PLANNED} SELECT doc_id, chr(10) || '---' || chr(10) || chr(10) || '*Summarized from `c' || doc_id || '.md` by quire using gpt-5.4 (' || CASE mode WHEN 'single' THEN 'single pass' WHEN 'chapters' THEN sections || ' chapters, summarized independently' ELSE sections || ' parts, split by length' END
+|| '). ' || format('{{:,}}', total_words) || ' words in, ' || format('{{:,}}', summary_words) || ' out (' || printf('%.0f', round_even(summary_words / total_words::DOUBLE * 100, 0)) || '%).*' || chr(10) AS footer FROM assembled""")
+def footers(spark, sf_dir):
+    a = _assembled(spark, sf_dir)
+    name = F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return a.select("doc_id", summaries.footer(name, "gpt-5.4", F.col("mode"), F.col("sections"), F.col("total_words"), F.col("summary_words")).alias("footer"))
+
+
+@query(f"{PLANNED} SELECT mode, count(*)::BIGINT AS documents, sum(total_words)::BIGINT AS words_in, sum(summary_words)::BIGINT AS words_out FROM assembled GROUP BY mode")
+def corpus_ratio(spark, sf_dir):
+    return _assembled(spark, sf_dir).groupBy("mode").agg(F.count("*").alias("documents"), F.sum("total_words").alias("words_in"), F.sum("summary_words").alias("words_out"))
+
+
+@query(f"{PLANNED}, r AS (SELECT count(*)::BIGINT AS calls, sum({_w('text')})::BIGINT AS i, sum({_w('summary')})::BIGINT AS o FROM carried WHERE NOT verbatim) SELECT calls, i AS input_tokens, o AS output_tokens, calls || ' request(s), ' || format('{{:,}}', i) || ' input + ' || format('{{:,}}', o) || ' output tokens' AS line FROM r".replace("{{", "{").replace("}}", "}"))
+def usage_totals(spark, sf_dir):
+    """Tokens counted as words of section and answer."""
+    text = T.section_text(F.col("title"), F.col("level"), F.col("body"))
+    rows = _lead(spark, sf_dir).withColumn("input_tokens", T.word_count(text)).withColumn("output_tokens", T.word_count(F.col("summary"))).withColumn("error", F.lit(None).cast("string"))
+    return summaries.usage(rows)
+
+
+@query(f"""{PLANNED} SELECT a.doc_id, a.pos FROM carried a JOIN carried b ON a.doc_id = b.doc_id AND a.pos <> b.pos
+WHERE a.mode = 'chapters' AND NOT a.verbatim AND a.title <> 'Front matter' AND b.title <> 'Front matter' AND contains(chr(10) || a.text, chr(10) || '## ' || b.title || chr(10))""")
+def isolation_check(spark, sf_dir):
+    """Requests that hold the heading line of another section of their document: none may. Thin sections are folded, with their headings, into one."""
+    r = _lead(spark, sf_dir).filter((F.col("mode") == "chapters") & (F.col("title") != "Front matter"))
+    mine = r.filter(~F.col("verbatim")).select("doc_id", F.col("pos").cast("long").alias("pos"), T.section_text(F.col("title"), F.col("level"), F.col("body")).alias("text"))
+    other = r.select("doc_id", F.col("pos").cast("long").alias("other"), F.concat(F.lit("\n## "), "title", F.lit("\n")).alias("line"))
+    return mine.join(other, "doc_id").filter((F.col("pos") != F.col("other")) & F.concat(F.lit("\n"), "text").contains(F.col("line"))).select("doc_id", "pos")
+
+
+# ---- pages
+
+TITLE = r"""trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"""
+SLUG = r"""coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(strip_accents(title), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9_\s-]', '', 'g'))), '[\s_]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g'), 60), '^-+|-+$', '', 'g'), ''), 'document')"""
+
+
+def _titled_pages(spark, sf_dir) -> DataFrame:
+    title = T.squeezed(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return _table(spark, sf_dir, "pages").select("page_id", title.alias("title"))
+
+
+@query(f"SELECT page_id, {TITLE} AS title FROM pages")
+def page_titles(spark, sf_dir):
+    return _titled_pages(spark, sf_dir)
+
+
+@query(f"WITH p AS (SELECT page_id, {TITLE} AS title FROM pages) SELECT page_id, {SLUG} AS slug FROM p")
+def page_slugs(spark, sf_dir):
+    return _titled_pages(spark, sf_dir).select("page_id", T.slugify(F.col("title")).alias("slug"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {TITLE} AS title FROM pages), s AS (SELECT page_id, {SLUG} AS slug FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS n FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY slug, n = 1 ORDER BY page_id) AS k FROM r)
+SELECT page_id, CASE WHEN n = 1 THEN slug WHEN k = 1 THEN slug || '-page' ELSE slug || '-page-' || k END AS dest FROM b""")
+def slug_collisions(spark, sf_dir):
+    s = _titled_pages(spark, sf_dir).select(F.col("page_id").alias("pos"), T.slugify(F.col("title")).alias("slug"), F.lit("page").alias("stem"))
+    return batch.destinations_by_rank(s).select(F.col("pos").alias("page_id"), "dest")
+
+
+@query("SELECT * FROM (VALUES (1, 'a'), (2, 'a-b'), (3, 'a-b-b'), (4, 'a-b-2'), (5, 'a-b-3'), (6, 'c')) AS t(pos, dest)")
+def claimed_destinations(spark, sf_dir):
+    d = _values(spark, "(1, 'a', 'x'), (2, 'a', 'b'), (3, 'a-b', 'b'), (4, 'a', 'b'), (5, 'a', 'b'), (6, 'c', 'b')", "pos, slug, stem")
+    return batch.destinations(d).select("pos", "dest")
+
+
+@query(r"""SELECT page_id, length(regexp_replace(html, '<(script|style|noscript|iframe|svg)[^>]*>.*?</(script|style|noscript|iframe|svg)>', '', 'gis'))::BIGINT AS n FROM pages""")
+def page_noise_strip(spark, sf_dir):
+    clean = F.regexp_replace("html", r"(?is)<(script|style|noscript|iframe|svg)[^>]*>.*?</(script|style|noscript|iframe|svg)>", "")
+    return _table(spark, sf_dir, "pages").select("page_id", F.char_length(clean).cast("long").alias("n"))
+
+
+@query()
+def page_markdown(spark, sf_dir):
+    """Pages as Markdown, by the HTML reader (no SQL: the reader is Python; its rules are tested)."""
+    from quire.sources.readers import read_pages
+
+    return read_pages(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", "html"))
+
+
+# ---- images, blocks, anchors
+
+OCCURRENCES = "('d', 1, 'p001'), ('d', 2, 'p001'), ('d', 3, 'p002'), ('d', 4, 'p001'), ('e', 1, 'h02'), ('e', 2, 'h02'), ('e', 3, 'x00')"
+
+
+@query(f"""WITH i AS (SELECT * FROM (VALUES {OCCURRENCES}) AS t(doc_id, pos, locator)), c AS (SELECT *, CASE WHEN lag(locator) OVER w = locator THEN 0 ELSE 1 END AS c FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS number FROM r)
+SELECT doc_id, pos::BIGINT AS pos, doc_id || '-' || locator || '-img' || printf('%02d', number) AS id FROM n""")
+def image_ids(spark, sf_dir):
+    i = _values(spark, OCCURRENCES, "doc_id, pos, locator").withColumn("slug", F.col("doc_id"))
+    return blocks.numbered_images(i).select("doc_id", F.col("pos").cast("long").alias("pos"), "id")
+
+
+@query("""WITH i AS (SELECT user_id AS doc_id, event_id AS pos, event_type AS locator FROM events), c AS (SELECT *, CASE WHEN lag(locator) OVER w = locator THEN 0 ELSE 1 END AS c FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c)
+SELECT doc_id, pos, 'u-' || locator || '-img' || printf('%02d', row_number() OVER (PARTITION BY doc_id, run ORDER BY pos)) AS id FROM r""")
+def image_ids_events(spark, sf_dir):
+    """The numbering of image runs at scale, with events in place of images."""
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("locator"), F.lit("u").alias("slug"))
+    return blocks.numbered_images(e).select("doc_id", "pos", "id")
+
+
+@query(f"""{HEADS} SELECT doc_id, line, count(*) FILTER (WHERE is_head) OVER (PARTITION BY doc_id ORDER BY line)::BIGINT AS heading_no
+FROM (SELECT l.doc_id, l.line, h.line IS NOT NULL AS is_head FROM lines l LEFT JOIN heads h ON l.doc_id = h.doc_id AND l.line = h.line)""")
+def heading_ordinals(spark, sf_dir):
+    rows = structure.lines(_books(spark, sf_dir)).withColumn("pos", F.col("line"))
+    head = ~F.col("in_fence") & F.col("text").rlike(T.HEADING)
+    return blocks.heading_ordinals(rows, head).select("doc_id", F.col("line").cast("long").alias("line"), F.col("heading_no").cast("long").alias("heading_no"))
+
+
+@query("SELECT 'p' || printf('%03d', n_nationkey) AS page, 's' || printf('%02d', n_nationkey) AS slide, 'ch' || printf('%02d', n_nationkey) AS chapter, 'h' || printf('%02d', n_nationkey * 40) AS heading FROM nation")
+def locators(spark, sf_dir):
+    n = F.col("n_nationkey")
+    return _table(spark, sf_dir, "nation").select(T.page_locator(n).alias("page"), T.slide_locator(n).alias("slide"), T.chapter_locator(n).alias("chapter"), T.heading_locator(n * 40).alias("heading"))
+
+
+MARKDOWN = "('a', '![x](images/a1.png) and ![y: z](images/a2.png) *[a2 — why: z]*'), ('b', 'no images'), ('c', '*[c1 — image too large]* ![c2](images/c2.jpg)')"
+FILES = "('a', 'a1.png'), ('a', 'a3.png'), ('b', 'b1.png'), ('c', 'c2.jpg')"
+
+
+@query(rf"""WITH m AS (SELECT * FROM (VALUES {MARKDOWN}) AS t(doc_id, md)), f AS (SELECT * FROM (VALUES {FILES}) AS t(doc_id, name)),
+l AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(md, '!\[[^\]]*\]\(images/([^)]+)\)', 1)) AS name FROM m), p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(md, '\*\[([\w.-]+) — [^\]]*\]\*', 1)) AS name FROM m),
+s AS (SELECT DISTINCT doc_id, regexp_replace(name, '\.[^.]*$', '') AS name FROM l)
+SELECT doc_id, 1 AS class, name, 'anchor references missing file: images/' || name AS problem FROM (SELECT * FROM l EXCEPT SELECT * FROM f)
+UNION ALL SELECT doc_id, 2, name, 'orphan image file with no anchor: images/' || name FROM (SELECT * FROM f EXCEPT SELECT * FROM l)
+UNION ALL SELECT doc_id, 3, name, name || ' appears as both a link and a placeholder' FROM (SELECT * FROM p INTERSECT SELECT * FROM s)""")
+def anchor_check(spark, sf_dir):
+    return anchors.problems(_values(spark, MARKDOWN, "doc_id, md"), _values(spark, FILES, "doc_id, filename"))
+
+
+SIZES = "('i1', 100), ('i2', 10485760), ('i3', 10485761), ('i4', NULL), ('i5', 2000000000)"
+
+
+@query(f"""SELECT id, n_bytes IS NOT NULL AND n_bytes <= 10485760 AS extracted, CASE WHEN n_bytes > 10485760 THEN 'image too large (' || CASE WHEN n_bytes < 1073741824 THEN printf('%.1f MB', n_bytes / 1048576.0) ELSE printf('%.1f GB', n_bytes / 1073741824.0) END || ')' ELSE '' END AS reason
+FROM (VALUES {SIZES}) AS t(id, n_bytes)""")
+def image_limits(spark, sf_dir):
+    i = _values(spark, SIZES, "id, n_bytes").withColumn("reason", F.lit(""))
+    return blocks.limited(i).select("id", "extracted", "reason")
+
+
+@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0) ELSE printf('%.1f GB', b / 1073741824.0) END AS size FROM (SELECT o_orderkey, o_orderkey * o_orderkey AS b FROM orders)")
+def byte_sizes(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", T.human_size(F.col("o_orderkey") * F.col("o_orderkey")).alias("size"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, replace(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[', ''), ']', '') AS s FROM documents)
+SELECT doc_id, '![d' || doc_id || ': ' || CASE WHEN length(s) > 200 THEN rtrim(left(s, 199)) || '…' ELSE s END || '](images/d' || doc_id || '.png)' AS md FROM c""")
+def image_markdown(spark, sf_dir):
+    id = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.image_markdown(id, F.lit(".png"), F.col("text"), F.lit(True), F.lit("")).alias("md"))
+
+
+@query("""WITH rows_ AS (SELECT n_regionkey, '| ' || n_name || ' | ' || n_nationkey || ' |' AS line, n_nationkey FROM nation)
+SELECT n_regionkey, '| nation | col2 |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY n_nationkey) AS md FROM rows_ GROUP BY n_regionkey""")
+def table_markdown(spark, sf_dir):
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.array(x["n_name"], x["n_nationkey"].cast("string")))
+    per = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(cells.alias("cells"))
+    return per.select("n_regionkey", blocks.table_markdown(F.concat(F.array(F.array(F.lit("nation"))), "cells")).alias("md"))
+
+
+@query("""SELECT r.r_regionkey AS doc_id, '# ' || r.r_name || chr(10) || chr(10) || string_agg('### ' || n_name || chr(10) || chr(10) || 'Nation ' || n_nationkey, chr(10) || chr(10) ORDER BY n_nationkey) || chr(10) AS md
+FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_regionkey, r.r_name""")
+def rendered_documents(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    image = F.lit(None).cast("struct<id:string,ext:string,caption:string,extracted:boolean,reason:string>")
+    row = lambda k, kind, text, level: n.select(F.col("n_regionkey").alias("doc_id"), (F.col("n_nationkey") * 2 + k).alias("pos"), F.lit(kind).alias("kind"), text.alias("text"), F.lit(level).alias("level"), F.lit("").alias("lang"), image.alias("image"))
+    every = row(0, "heading", F.col("n_name"), 3).unionByName(row(1, "text", F.concat(F.lit("  Nation "), F.col("n_nationkey").cast("string"), F.lit(" \n")), 0))
+    docs = _table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), F.col("r_name").alias("title"), F.lit(False).alias("has_h1"))
+    return blocks.rendered(every, docs)
+
+
+# ---- layout: lineitem stands in for spans, VALUES for page items
+
+SPANS = "SELECT l_suppkey AS doc_id, l_orderkey % 60 AS page, l_linenumber AS block, l_orderkey AS line, l_partkey AS span, repeat('x', l_quantity::INT) AS text, 8 + round(l_discount * 100) AS size FROM lineitem"
+BODY = f"""spans AS ({SPANS}), sized AS (SELECT * FROM spans WHERE page < 50 AND text <> ''), per AS (SELECT doc_id, size, sum(length(text)) AS c, min((page, block, line, span)) AS f FROM sized GROUP BY doc_id, size),
+body AS (SELECT doc_id, size AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) AS n FROM per) WHERE n = 1)"""
+
+
+def _spans(spark, sf_dir) -> DataFrame:
+    li = _table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 60).alias("page"), F.col("l_linenumber").alias("block"), F.col("l_orderkey").alias("line"), F.col("l_partkey").alias("span"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("text"), (8 + F.round(F.col("l_discount") * 100)).alias("size"))
+
+
+@query(f"WITH {BODY} SELECT doc_id, body_size FROM body")
+def body_font(spark, sf_dir):
+    return layout.body_sizes(_spans(spark, sf_dir))
+
+
+@query(f"WITH {BODY} SELECT doc_id, size, least(6, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC))::BIGINT AS level FROM (SELECT DISTINCT s.doc_id, s.size FROM sized s JOIN body b ON s.doc_id = b.doc_id WHERE s.size >= b.body_size * 1.15::DOUBLE)")
+def heading_levels(spark, sf_dir):
+    s = _spans(spark, sf_dir)
+    return layout.heading_sizes(s, layout.body_sizes(s)).select("doc_id", "size", F.col("level").cast("long").alias("level"))
+
+
+@query("""WITH i AS (SELECT l_suppkey AS doc_id, l_partkey % 7 AS xref, l_orderkey % 12 AS page FROM lineitem WHERE l_partkey % 7 > 0) SELECT doc_id, xref FROM i GROUP BY doc_id, xref HAVING count(DISTINCT page) >= 6""")
+def page_furniture(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    items = li.select(F.col("l_suppkey").alias("doc_id"), F.lit("image").alias("kind"), (F.col("l_partkey") % 7).alias("xref"), (F.col("l_orderkey") % 12).alias("page"))
+    pages = items.select("doc_id").distinct().withColumn("page_count", F.lit(12))
+    return layout.furniture(items, pages)
+
+
+@query("""SELECT l_suppkey AS doc_id, l_orderkey % 12 AS page, l_orderkey * 10 + l_linenumber AS pos, (row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 12 ORDER BY round_even(l_quantity / 3.0::DOUBLE, 0), l_tax, l_orderkey * 10 + l_linenumber))::BIGINT AS at FROM lineitem""")
+def reading_order(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    items = li.select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 12).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").alias("y0"), F.col("l_tax").alias("x0"))
+    return layout.reading_order(items).select("doc_id", "page", "pos", F.col("at").cast("long").alias("at"))
+
+
+ITEMS = "(0, 1, 'text', 'Intro'), (0, 2, 'image', NULL), (0, 3, 'text', 'Figure 1: one'), (0, 4, 'image', NULL), (0, 5, 'text', 'body'), (1, 1, 'text', 'Table 2'), (1, 2, 'image', NULL), (1, 3, 'text', 'Figures are not'), (2, 1, 'image', NULL), (2, 2, 'text', 'chart 3'), (2, 3, 'image', NULL), (2, 4, 'text', 'fig. 4')"
+
+
+@query("""SELECT * FROM (VALUES (0, 1, 'text', NULL), (0, 2, 'image', 'Figure 1: one'), (0, 4, 'image', ''), (0, 5, 'text', NULL), (1, 2, 'image', 'Table 2'), (1, 3, 'text', NULL), (2, 1, 'image', 'chart 3'), (2, 3, 'image', 'fig. 4')) AS t(page, "at", kind, caption)""")
+def captions(spark, sf_dir):
+    return layout.captioned(_values(spark, ITEMS, "page, at, kind, text").withColumn("doc_id", F.lit(1))).select("page", "at", "kind", "caption")
+
+
+@query(f"""WITH {BODY}, lev AS (SELECT doc_id, size, least(6, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC)) AS level FROM (SELECT DISTINCT s.doc_id, s.size FROM sized s JOIN body b ON s.doc_id = b.doc_id WHERE s.size >= b.body_size * 1.15::DOUBLE))
+SELECT s.doc_id, s.line, s.span, s.block, (CASE WHEN s.text = repeat('x', 7) THEN 2 WHEN s.size >= b.body_size * 1.15::DOUBLE THEN coalesce(l.level, 1) ELSE 0 END)::BIGINT AS level
+FROM spans s JOIN body b ON s.doc_id = b.doc_id LEFT JOIN lev l ON l.doc_id = s.doc_id AND l.size = s.size""")
+def heading_classes(spark, sf_dir):
+    s = _spans(spark, sf_dir)
+    b = layout.body_sizes(s)
+    toc = b.select("doc_id", F.lit(1).alias("pos"), F.lit(2).alias("level"), F.lit(" XXXXXXX ").alias("title"))
+    items = s.withColumn("kind", F.lit("text"))
+    out = layout.classified(items, b, layout.heading_sizes(s, b), layout.toc_levels(toc))
+    return out.select("doc_id", "line", "span", "block", F.col("level").cast("long").alias("level"))
+
+
+# ---- sources, batches
+
+PATHS = "('/in/a.PDF'), ('/in/b.tar.gz'), ('/in/c.Docx'), ('/in/d'), ('/in/e.summary.md'), ('/in/.hidden'), ('/in/f.html'), ('/in/g.xlsx')"
+SUPPORTED = ", ".join(registry.supported())
+REGISTRY = ", ".join(f"('{s}', '{r}')" for s, r in sorted(registry.BY_SUFFIX.items()))
+
+
+@query(rf"""WITH p AS (SELECT path, lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) AS suffix FROM (VALUES {PATHS}) AS t(path)), r AS (SELECT * FROM (VALUES {REGISTRY}) AS t(suffix, reader))
+SELECT p.path, p.suffix, r.reader, CASE WHEN r.reader IS NULL THEN 'unsupported file type ''' || p.suffix || '''. Supported: {SUPPORTED}' END AS error FROM p LEFT JOIN r ON p.suffix = r.suffix""")
+def ext_dispatch(spark, sf_dir):
+    return registry.dispatched(_values(spark, PATHS, "path")).select("path", "suffix", "reader", "error")
+
+
+TREE = "('/r/b.md'), ('/r/A.markdown'), ('/r/x.summary.md'), ('/r/s/t/c.MD'), ('/r/s/t/u/d.md'), ('/r/.git/e.md'), ('/r/f.txt'), ('/q/g.md')"
+
+
+@query("SELECT * FROM (VALUES ('/r/b.md', '/cwd/outputs/b.summary.md'), ('/r/A.markdown', '/cwd/outputs/A.summary.md'), ('/r/s/t/c.MD', '/cwd/outputs/c.summary.md')) AS t(path, dest)")
+def markdown_inputs(spark, sf_dir):
+    return registry.markdown_inputs(_values(spark, TREE, "path"), "/r").select("path", registry.summary_path(F.col("path"), "/cwd").alias("dest"))
+
+
+@query("SELECT coalesce(arg_min(code, pos) FILTER (WHERE code <> 0), 0) AS code FROM (VALUES (1, 0), (2, 2), (3, 1)) AS t(pos, code)")
+def batch_status(spark, sf_dir):
+    return batch.status(_values(spark, "(1, 0), (2, 2), (3, 1)", "pos, code"))
+
+
+NOTES = "('a', 1, 'x'), ('a', 2, 'y'), ('a', 3, 'x'), ('b', 1, 'y')"
+
+
+@query(f"SELECT doc_id, note, min(pos) AS pos FROM (VALUES {NOTES}) AS t(doc_id, pos, note) GROUP BY doc_id, note")
+def notes_dedup(spark, sf_dir):
+    return blocks.ordered_notes(_values(spark, NOTES, "doc_id, pos, note"))
+
+
+@query("SELECT 'effrt,modle' AS unknown")
+def config_diff(spark, sf_dir):
+    from quire.plans.config import SummaryConfig, names
+
+    given = F.split(F.lit("model,modle,effrt,min_words"), ",")
+    return spark.range(1).select(F.array_join(batch.unknown_keys(given, F.lit(sorted(names(SummaryConfig)))), ",").alias("unknown"))
+
+
+HREFS = "('text/ch1.xhtml#p3'), ('/OEBPS/./a/../b.html'), ('a%20b.html'), ('x+y.html'), ('#top'), ('../up.html')"
+
+
+@query("SELECT * FROM (VALUES ('text/ch1.xhtml#p3', 'text/ch1.xhtml'), ('/OEBPS/./a/../b.html', 'OEBPS/b.html'), ('a%20b.html', 'a b.html'), ('x+y.html', 'x+y.html'), ('#top', ''), ('../up.html', '../up.html')) AS t(href, k)")
+def href_keys(spark, sf_dir):
+    return _values(spark, HREFS, "href").select("href", T.href_key(F.col("href")).alias("k"))
+
+
+MODELS = "('gpt-5.4'), ('o3-mini'), ('text-embedding-3'), (' GPT-5'), ('gpt-4.1'), ('o'), ('gpt-60')"
+
+
+@query(f"SELECT id, regexp_matches(trim(id), '^(o\\d|gpt-5|gpt-6)', 'i') AS reasoning, regexp_matches(id, '^(gpt-|o1|o3|o4|chatgpt)') AS chat FROM (VALUES {MODELS}) AS t(id)")
+def models(spark, sf_dir):
+    return batch.listed_models(_values(spark, MODELS, "id")).select("id", T.is_reasoning_model(F.col("id")).alias("reasoning"), "chat")
+
+
+@query("SELECT * FROM (VALUES (1, 'a co-operative word'), (2, 'dash-- kept'), (3, '')) AS t(id, text)")
+def dehyphenated(spark, sf_dir):
+    rows = _values(spark, "(1, array('a co-oper-', '  ative', 'word')), (2, array('dash--', 'kept')), (3, array(''))", "id, lines")
+    return rows.select("id", T.joined_lines(F.col("lines")).alias("text"))
+
+

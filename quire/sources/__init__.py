@@ -1 +1 @@
-
+"""Files and formats."""
