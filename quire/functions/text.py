@@ -42,14 +42,13 @@ def slug_of_ascii(c: Column, fallback: str | Column = "document") -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), fallback if isinstance(fallback, Column) else F.lit(fallback))
 
 
-@F.pandas_udf("string")
 def _decomposed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode("ascii"))
 
 
 def folded(c: Column) -> Column:
     """Compatibility decomposition, without what is not ASCII: the one function without a built-in counterpart."""
-    return _decomposed(c)
+    return F.pandas_udf(_decomposed, "string")(c)
 
 
 def slugify(c: Column, fallback: str | Column = "document") -> Column:
