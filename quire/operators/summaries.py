@@ -109,7 +109,7 @@ def answered(sections: DataFrame, make: Callable[[], Summarizer], carry: bool =
                 except Exception as e:  # noqa: BLE001 - an answer that fails is data
                     failed = str(e) or type(e).__name__
             out.append((r.doc_id, r.pos, body, used_in, used_out, failed))
-        return pd.DataFrame(out, columns=["doc_id", "pos", "summary", "input_tokens", "output_tokens", "error"])
+        return pd.DataFrame(out, columns=["doc_id", "pos", "summary", "input_tokens", "output_tokens", "error"], dtype=object)
 
     if carry:
         done = asked.groupBy("doc_id").applyInPandas(lambda rows: run(make(), rows), schema)

@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 TOKEN = "\ue000{}\ue001"
 
 NOISE = frozenset(("script", "style", "noscript", "iframe", "svg", "head", "title"))
-BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form header hr html main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 LEVELS = {f"h{n}": n for n in range(1, 7)}
 
 
