@@ -16,18 +16,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import stash
+from quire.llm.common import partitions, stash
 
 K = 24
 PIVOTS = 256
 TABLES = 3
 CELL = 600
-ROUNDS = 4
+ROUNDS = 3
 BEAM = 96
-EXPAND = 24
+EXPAND = 32
 
 
 def usable(rows: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -46,9 +47,13 @@ def _matrix(lists: pa.ListArray, kind=np.float64) -> np.ndarray:
     return flat.astype(kind).reshape(len(lists), -1) if len(lists) else np.zeros((0, 1), kind)
 
 
+def _scale(nodes: DataFrame) -> float:
+    return nodes.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0] or 1.0
+
+
 def _coded(nodes: DataFrame) -> DataFrame:
     """node, code: vectors rounded to 8 bits at one scale."""
-    top = nodes.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0] or 1.0
+    top = _scale(nodes)
 
     def each(batches):
         for b in batches:
@@ -99,17 +104,18 @@ def _first_graph(codes: DataFrame, k: int, tables: int, pivots: int, cell: int)
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest b of each a; new is 0 where an edge was there before."""
-    one = edges.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+    """The k nearest b of each a; new is 0 where an edge was there before. Rows are dealt by a once, for both steps."""
+    dealt = edges.repartition(partitions(edges.sparkSession), "a")
+    one = dealt.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("new").alias("new"))
     w = Window.partitionBy("a").orderBy("d", "b")
     return stash(one.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n"))
 
 
 def _both_ways(graph: DataFrame, k: int, turn: int) -> DataFrame:
-    """(u, v, new): neighbours of u, and at most k of the nodes that have u as neighbour, drawn by hash."""
+    """(u, v, new): neighbours of u, and at most k of the nodes that have u as neighbour, drawn by hash. A pair may come twice."""
     w = Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(turn)))
     back = graph.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).select(F.col("b").alias("u"), F.col("a").alias("v"), "new")
-    return graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "new").unionByName(back).groupBy("u", "v").agg(F.max("new").alias("new"))
+    return graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "new").unionByName(back)
 
 
 def _local_join(graph: DataFrame, codes: DataFrame, k: int, turn: int) -> DataFrame:
@@ -131,7 +137,7 @@ def _local_join(graph: DataFrame, codes: DataFrame, k: int, turn: int) -> DataFr
                     if not new[s:e].any():
                         continue
                     d = _distances(x[s:e], x[s:e])
-                    np.fill_diagonal(d, np.inf)
+                    d[v[s:e, None] == v[None, s:e]] = np.inf
                     p, q = np.nonzero((d < worst[s:e, None]) & (new[s:e, None] | new[None, s:e]))
                     out.append((v[s:e][p], v[s:e][q], d[p, q]))
                 if out:
@@ -156,31 +162,61 @@ def build(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, tables: int = TABL
 
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = BEAM, expand: int = EXPAND, k: int = K) -> DataFrame:
-    """queries (query, x, entry: a node) to (query, node, score): up to `beam` near nodes of each."""
-    lists = stash(_both_ways(graph, k, 0).groupBy("u").agg(F.collect_list("v").alias("near")))  # 2k a node
-    vectors = nodes.select(F.col("node"), F.col("x").alias("y"))
-    asked = queries.select("query", "x")
+    """queries (query, x, entry: a node) to (query, node, score): up to `beam` near nodes of each.
+
+    A query is a row of what it knows. In each round the nodes it expands are joined with their neighbours, which
+    carry their rounded vectors, and what was reached is merged into the row. The last step scores with original vectors.
+    """
+    spark = nodes.sparkSession
+    top, codes = _scale(nodes), _coded(nodes)
+    n = partitions(spark)
+    near = _both_ways(graph, k, 0).join(codes.withColumnRenamed("node", "v"), "v")
+    # dealt by node once; kept for the rounds, and made again from the stored graph where an executor is lost
+    lists = near.groupBy("u").agg(F.collect_list(F.struct("v", "code")).alias("near")).repartition(n, "u").persist(StorageLevel.MEMORY_AND_DISK)
+    start = queries.join(codes.withColumnRenamed("node", "entry"), "entry").select("query", "x", F.array(F.struct(F.col("entry").alias("v"), "code")).alias("near"))
+    state = "query long, x array<double>, node array<long>, d array<float>, done array<boolean>"
+    none = {"node": "array<long>", "d": "array<float>", "done": "array<boolean>"}
+    rows = start.select("query", "x", *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "near")
+
+    def merge(t: pa.Table) -> pa.Table:
+        """One query: its row, and lists of nodes reached."""
+        row = next(i for i, x in enumerate(t["x"].to_pylist()) if x is not None)
+        x = np.asarray(t["x"][row].as_py())
+        old = np.asarray(t["node"][row].as_py() or [], np.int64)
+        d, done = np.asarray(t["d"][row].as_py() or [], np.float32), np.asarray(t["done"][row].as_py() or [], bool)
+        flat = t["near"].combine_chunks().flatten()
+        v, first = np.unique(flat.field("v").to_numpy(), return_index=True)
+        fresh = ~np.isin(v, old)
+        v, first = v[fresh], first[fresh]
+        if len(v):
+            code = _codes([c for c in flat.field("code").take(pa.array(first)).to_pylist()])
+            q = (x / top * 127).astype(np.float32)
+            far = ((code - q) ** 2).sum(1)
+            old, d, done = np.concatenate([old, v]), np.concatenate([d, far]), np.concatenate([done, np.zeros(len(v), bool)])
+        best = np.lexsort((old, d))[:beam]
+        return pa.table({"query": t["query"].slice(row, 1), "x": t["x"].slice(row, 1), "node": pa.array([old[best]]), "d": pa.array([d[best]], pa.list_(pa.float32())), "done": pa.array([done[best]])})
+
+    try:
+        while True:
+            known = stash(rows.groupBy("query").applyInArrow(merge, state))
+            left = F.filter(F.arrays_zip("node", "done"), lambda z: ~z["done"])
+            if known.filter(F.size(left) > 0).isEmpty():
+                break
+            front = known.select("query", F.explode(F.slice(left, 1, expand)).alias("z")).select("query", F.col("z.node").alias("u"))
+            reached = front.join(lists, "u").select("query", F.lit(None).cast("array<double>").alias("x"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "near")
+            chosen = F.transform(F.slice(left, 1, expand), lambda z: z["node"])
+            marked = known.withColumn("done", F.zip_with("node", "done", lambda v, z: z | F.array_contains(chosen, v)))
+            rows = marked.withColumn("near", F.array().cast("array<struct<v:long,code:binary>>")).select("query", "x", *none, "near").unionByName(reached)
+    finally:
+        lists.unpersist()
+
+    def scored(batches):
+        for b in batches:
+            d = np.sqrt(((_matrix(b.column("x")) - _matrix(b.column("y"))) ** 2).sum(1)) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array(d)], ["query", "node", "score"])
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        def each(batches):
-            for b in batches:
-                d = np.sqrt(((_matrix(b.column("x")) - _matrix(b.column("y"))) ** 2).sum(1)) if b.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array(d)], ["query", "node", "score"])
-
-        return pairs.join(vectors, "node").join(asked, "query").select("query", "node", "x", "y").mapInArrow(each, "query long, node long, score double")
-
-    by_score = Window.partitionBy("query").orderBy("score", "node")
-    known = stash(scored(queries.select("query", F.col("entry").alias("node")).distinct()).withColumn("done", F.lit(False)))
-    while True:
-        ranked = known.withColumn("_n", F.row_number().over(Window.partitionBy("query", "done").orderBy("score", "node")))
-        front = stash(ranked.filter(~F.col("done") & (F.col("_n") <= expand)).select("query", "node"))
-        if front.isEmpty():
-            return known.drop("done")
-        reached = front.join(lists, front["node"] == lists["u"]).select("query", F.explode("near").alias("node")).distinct()
-        fresh = scored(reached.join(known, ["query", "node"], "left_anti")).withColumn("done", F.lit(False))
-        marked = known.join(front.withColumn("_now", F.lit(True)), ["query", "node"], "left").withColumn("done", F.col("done") | F.coalesce("_now", F.lit(False))).drop("_now")
-        every = marked.unionByName(fresh)
-        known = stash(every.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") <= beam).drop("_n"))
+    pairs = known.select("query", "x", F.explode("node").alias("node")).join(nodes.select("node", F.col("x").alias("y")), "node")
+    return pairs.select("query", "node", "x", "y").mapInArrow(scored, "query long, node long, score double")
 
 
 def nearest(rows: DataFrame, k: int = 10, every: int = 100, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
