@@ -87,6 +87,11 @@ def sized_side(side: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
+def wrapped(docs: DataFrame, *names: str) -> DataFrame:
+    """row (a struct of all columns, so that none can clash with a name used here) and the named columns."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *names)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with _id and _h, which tell rows apart but for repeated ones."""
     return docs.withColumn("_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64(docs["doc_id"], docs["text"]))

@@ -1,8 +1,8 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a run of blocks. Words score positive and tags negative, with weights by kind (tag name, within a
-link, within the article element) taken from labelled pages; one linear scan finds the contiguous blocks of greatest
-sum. What lies inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+A page is a run of blocks. Words score positive and tags negative, with weights by kind (tag name, word in a link or
+not) taken from labelled pages; one linear scan finds the contiguous blocks of greatest sum. Where a page marks its
+article by an element, blocks in it count as positive and others as negative. What lies inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments is never text, wherever it stands.
 
 Labelled pages are those that mark their article by an element: at most `sample` of them, of smallest hash, give the
@@ -28,6 +28,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset("a b br em i img span strong".split())
 OUTSIDE = frozenset("nav header footer aside form menu dialog head noscript template iframe svg canvas object select button datalist map audio video".split())
 CLASSES = frozenset(
     "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs consent cookie cookies dialog footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay popup promo promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
@@ -75,7 +76,7 @@ def blocks(html: str) -> list[tuple[str, dict[str, int], bool]]:
         words = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if words:
-            kind = f"word{'-link' if link else ''}{'-main' if main else ''}"
+            kind = "word-link" if link else "word"
             kinds[kind] = kinds.get(kind, 0) + words.count(" ") + 1
         if words or kinds:
             out.append((words, kinds, main > 0))
@@ -110,17 +111,15 @@ def blocks(html: str) -> list[tuple[str, dict[str, int], bool]]:
         if name in ("article", "main"):
             main = max(0, main - 1) if ends else main + 1
         if name == "a":
-            if text and (link > 0) != (not ends):
-                pass
             link = 0 if ends else 1
-        kind = f"{name if name in BLOCKS or name in ('a', 'b', 'i', 'em', 'strong', 'span', 'img', 'br') else 'other'}{'-main' if main else ''}"
+        kind = name if name in BLOCKS or name in INLINE else "other"
         kinds[kind] = kinds.get(kind, 0) + 1
     close()
     return out
 
 
 def weight(kind: str, inside: float, outside: float) -> float:
-    """Log odds of the article, kept above 0 for words and below 0 for tags; within the article tags cost almost nothing."""
+    """Log odds of the article, kept above 0 for words and below 0 for tags."""
     odds = math.log((inside + 1) / (outside + 1))
     return min(3.0, max(0.1, odds)) if kind.startswith("word") else max(-3.0, min(-0.001, odds))
 
@@ -142,8 +141,8 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     marked = any(inside and words for words, _, inside in found)
     scores = []
     for words, kinds, inside in found:
-        s = sum(n * weights.get(k, 1.0 if k.startswith("word") else -0.001 if k.endswith("-main") else -0.5) for k, n in kinds.items())
-        scores.append(min(s, -1.0) if marked and not inside and words else s)
+        s = sum(n * weights.get(k, 1.0 if k.startswith("word") else -0.5) for k, n in kinds.items())
+        scores.append(s if not marked else max(s, 0.01) if inside else min(s, -0.01))
     a, b = best_run(scores)
     return "\n".join(words for words, _, inside in found[a:b] if words and (inside or not marked))
 
@@ -156,7 +155,10 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
         outside: dict[str, int] = {}
         for b in batches:
             for html in b.column("html").to_pylist():
-                for _, kinds, main in blocks(html or ""):
+                found = blocks(html or "")
+                if not any(main and words for words, _, main in found):
+                    continue  # its article element is no article, such as a reader's comment
+                for _, kinds, main in found:
                     into = inside if main else outside
                     for k, n in kinds.items():
                         into[k] = into.get(k, 0) + n

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SMALL, keyed, stash, word_count
+from quire.llm.common import SMALL, keyed, stash, word_count, wrapped
 
 LEAST = 32
 
@@ -48,20 +48,28 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with text without its repeated lines, and n_lines, n_deleted (0 for null texts)."""
+    """docs with text without its repeated lines, and n_lines, n_deleted (0 for null texts; they replace columns of these names)."""
+    out = _edited(docs, least)
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    return out.select(*kept, "n_lines", "n_deleted")
+
+
+def _edited(docs: DataFrame, least: int) -> DataFrame:
+    """row (with the new text), n_lines, n_deleted."""
     gone = stash(repeated_lines(docs, least))
     total = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
     side = F.broadcast(gone) if total <= 4 * SMALL else gone  # a bounded number of line numbers, else a shuffle
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
-    joined = keyed(docs).join(side, ["_id", "_h"], "left").withColumn("_lines", lines)
+    joined = keyed(wrapped(docs, "doc_id", "text")).join(side, ["_id", "_h"], "left").withColumn("_lines", lines)
     edited = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    return joined.withColumn("text", edited).withColumn("n_lines", F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")).withColumn("n_deleted", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).select(*docs.columns, "n_lines", "n_deleted")
+    return joined.withColumn("row", F.col("row").withField("text", edited)).withColumn("n_lines", F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")).withColumn("n_deleted", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).select("row", "n_lines", "n_deleted")
 
 
 def keep(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with edited text and n_chars; documents of which nothing is left go."""
-    out = dedup(docs, least).filter((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = _edited(docs, least).filter((F.col("n_deleted") == 0) | F.col("row.text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+        n = F.when(F.col("n_deleted") > 0, F.char_length("row.text")).otherwise(F.col("row.n_chars")).cast(dict(docs.dtypes)["n_chars"])
+        out = out.withColumn("row", F.col("row").withField("n_chars", n))
+    return out.select("row.*")

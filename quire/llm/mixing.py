@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import sized_side, stash, unit, word_count
+from quire.llm.common import sized_side, stash, unit, word_count, wrapped
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -108,10 +108,10 @@ def keep(docs: DataFrame, **options) -> DataFrame:
     mixed = stash(mix(docs, **options).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("copies")).alias("each")))
     once = mixed.select(F.xxhash64("doc_id", "text_hash").alias("_row"), F.element_at("each", 1).alias("least"), F.size("each").alias("rows"), F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"))
     side = sized_side(stash(once.filter((F.col("rows") > 1) | (F.col("least") != 1))))
-    marked = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_mine", F.xxhash64("doc_id", F.xxhash64("text")))
+    marked = wrapped(docs, "doc_id", "text").withColumn("_size", word_count(F.col("text"))).withColumn("_mine", F.xxhash64("doc_id", F.xxhash64("text")))
     joined = marked.join(side, F.col("_mine") == F.col("_row"), "left")
     # repeated rows share their copies: one row stands for all of them
     single = joined.filter(F.col("rows").isNull() | (F.col("rows") == 1))
     repeated = joined.filter(F.col("rows") > 1).dropDuplicates(["_mine"])
     times = F.when(F.col("_size") == 0, F.coalesce("rows", F.lit(1)).cast("long")).otherwise(F.coalesce(F.col("all"), F.lit(1).cast("long")))
-    return single.unionByName(repeated).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+    return single.unionByName(repeated).select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("row.*")

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import keyed, stash, top, unit
+from quire.llm.common import keyed, sized_side, stash, top, unit, wrapped
 from quire.llm.shingling import mixed, slices, word_hashes
 
 BUCKETS = 1 << 16
@@ -124,7 +124,5 @@ def op9_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier chooses, with all their columns."""
-    from quire.llm.common import sized_side
-
     gone = sized_side(stash(score(docs, labels).filter(~F.col("chosen")).select("_id", "_h").distinct()))
-    return keyed(docs).join(gone, ["_id", "_h"], "left_anti").select(*docs.columns)
+    return keyed(wrapped(docs, "doc_id", "text")).join(gone, ["_id", "_h"], "left_anti").select("row.*")
