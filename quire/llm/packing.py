@@ -3,7 +3,7 @@
 The global histogram of lengths goes to a dynamic program that chooses bucket boundaries of least total
 padding; inside each bucket, batches hold as many documents as a token budget allows at the bucket's padded length.
 
-Lengths are counted in words. The histogram is exact up to `fine` and then in steps of 1/64 of the length, rounded
+Lengths are counted in words, or in the tokens of a tokenizer file that every executor can read. The histogram is exact up to `fine` and then in steps of 1/64 of the length, rounded
 up, so its size grows with the logarithm of the longest document alone; boundaries are exact maxima
 of the documents in a bin.
 
@@ -15,10 +15,12 @@ hash; extra columns are ignored by `pack`.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import offsets, partitions, stash, word_count
+from quire.llm.shingling import slices
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -61,10 +63,28 @@ def histogram(lengths: DataFrame, fine: int = FINE) -> tuple[list[int], list[int
     return [r.m for r in rows], [r.c for r in rows]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, fine: int = FINE) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, tokens, _h, by the tokenizer file (JSON) at the path."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def each(batches):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(tokenizer)
+        t.encode_special_tokens = True
+        for b in (x for whole in batches for x in slices(whole)):
+            n = [len(e.ids) for e in t.encode_batch([x or "" for x in b.column("text").to_pylist()], add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), b.column("_h")], ["doc_id", "tokens", "_h"])
+
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["doc_id"], docs["text"]).alias("_h"))
+    return rows.mapInArrow(each, f"doc_id {kind}, tokens long, _h long")
+
+
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, fine: int = FINE, tokenizer: str | None = None) -> DataFrame:
     """doc_id, tokens, bucket, bucket_tokens, batch (from 0 in its bucket), place (in its batch): a row for each document."""
     spark = docs.sparkSession
-    rows = stash(docs.select(docs["doc_id"].alias("doc_id"), word_count(docs["text"]).alias("tokens"), F.xxhash64(docs["doc_id"], docs["text"]).alias("_h")))
+    counted = docs.select(docs["doc_id"].alias("doc_id"), word_count(docs["text"]).alias("tokens"), F.xxhash64(docs["doc_id"], docs["text"]).alias("_h"))
+    rows = stash(token_counts(docs, tokenizer) if tokenizer else counted)
     edges = boundaries(*histogram(rows, fine), buckets)
     cells = 4 * partitions(spark)
     bound = F.lit(edges) if edges else F.lit([0])

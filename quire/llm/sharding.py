@@ -97,7 +97,7 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str |
     spark = docs.sparkSession
     rows = stash(slotted(stash(sized(docs)), shards, slots))
     loads = {r.vslot: r.b for r in rows.groupBy("vslot").agg(F.sum("size").alias("b")).collect()}  # `slots` rows at most
-    path = map_path or f"{shared_dir(spark)}/quire/{uuid.uuid4().hex}"
+    path = map_path or f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     save_map(spark, assign(loads, shards, slots), path, 1)
     owner = F.broadcast(load_map(spark, path, 1))  # `slots` rows
     first = offsets(rows.groupBy("vslot").agg(F.count("*").alias("n")).join(owner, "vslot"), ["shard"], ["vslot"], "n", "before")

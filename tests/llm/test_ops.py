@@ -307,3 +307,25 @@ def test_neighbours(spark):
     assert hit / (10 * len(got)) >= 0.95
     assert [g[0] for g in got[2000]] == [7, *range(2001, 2010)]
     assert neighbours.nearest(df.limit(0)).count() == 0 and neighbours.nearest(df.filter("vec_id in (100, 3)")).count() == 1
+
+
+def test_sweep(spark):
+    from quire.llm import common
+
+    df = common.stash(spark.range(3))
+    assert df.count() == 3
+    common.sweep(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_packing_by_tokens(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    rows = [(1, "one two  three", "s"), (2, None, "s"), (3, "<|endoftext|>", "s"), (4, "", "s")]
+    got = {r.doc_id: r.tokens for r in packing.pack(frame(spark, rows), tokenizer=path).collect()}
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    assert got == {d: len(t.encode(x or "", add_special_tokens=False).ids) for d, x, _ in rows} and got[3] > 1
