@@ -61,6 +61,8 @@ def _starts_zone(name: str, attributes: str, main: int) -> str:
         return ""
     if name in OUTSIDE:
         return "" if name == "header" and main else "other"
+    if main:
+        marks = marks - {"header"}  # of the article itself
     return "other" if marks & CLASSES or any(m.startswith("role:") and m[5:] in ROLES for m in marks) else ""
 
 
@@ -91,7 +93,7 @@ def blocks(html: str) -> list[tuple[str, dict[str, int], bool]]:
         ends, attributes = m.group(2) == "/", m.group(4)
         if zone:
             opens_main = not ends and name in ("article", "main") and zone_kind == "other" and not _starts_zone(name, attributes, main)
-            if opens_main or (zone == "head" and name == "body"):
+            if opens_main or (zone == "head" and name == "body") or (zone == "p" and not ends and name in BLOCKS):
                 zone = ""
             else:
                 if name == zone and name not in VOID:

@@ -241,10 +241,10 @@ MARKED = "<body><nav><ul><li>home<article><h1>T</h1><p>one\n two<p>three</articl
 
 def test_html_text(spark):
     want = "Title & more\nFirst para of text here with words.\nSecond para link text. 1 < 2\nx"
-    rows = [(1, "u", PAGE), (2, "u", MARKED), (3, None, None), (4, "u", ""), (5, "u", "<p>cut off <a hr"), (6, "u", MARKED), (6, "u", MARKED)]
+    rows = [(1, "u", PAGE), (2, "u", MARKED), (3, None, None), (4, "u", ""), (5, "u", "<p>cut off <a hr"), (6, "u", MARKED), (6, "u", MARKED), (7, "u", '<article><div class="post-header"><h1>H</h1></div><p class="ad">buy<p>text</article>')]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
     got = sorted(((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()), key=str)
-    assert got == sorted([(1, want, len(want)), (2, "T\none two\nthree", 15), (3, "", 0), (4, "", 0), (5, "cut off", 7), (6, "T\none two\nthree", 15), (6, "T\none two\nthree", 15)], key=str)
+    assert got == sorted([(1, want, len(want)), (2, "T\none two\nthree", 15), (3, "", 0), (4, "", 0), (5, "cut off", 7), (6, "T\none two\nthree", 15), (6, "T\none two\nthree", 15), (7, "H\ntext", 6)], key=str)
     assert html_text.extract(df.limit(0)).count() == 0
 
 
