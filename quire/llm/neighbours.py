@@ -9,7 +9,7 @@ Defined cases: vectors that are null, zero, or hold null or non-finite component
 without id or of another length than most; of rows repeating an id, the smallest vector counts; fewer candidates than k give
 all of them; an empty table gives no rows; ties go to the smaller id; extra columns are ignored. Graph rounds use vectors
 rounded to 8 bits; every returned score is the Euclidean distance of the original vectors in double precision.
-Index fitting: pivots are a sample of at most `PIVOTS` nodes; every row is indexed.
+Every row is indexed; nothing is fitted but pivots, at most `PIVOTS` nodes for each division of a cell.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, stash
+from quire.llm.common import partitions, sized_side, stash
 
 K = 24
 PIVOTS = 256
 TABLES = 3
 CELL = 600
 ROUNDS = 3
+FEW = 64
 BEAM = 96
 EXPAND = 32
 
@@ -84,25 +85,51 @@ def _nearest(table: pa.Table, k: int) -> pa.Table:
 
 
 def _first_graph(codes: DataFrame, k: int, tables: int, pivots: int, cell: int) -> DataFrame:
-    total, out = codes.count(), None
+    out = None
     for t in range(tables):
-        chosen = codes.orderBy(F.xxhash64(F.lit(t), "node")).limit(min(pivots, max(1, total // cell))).toArrow()  # at most `pivots` vectors
-        centre = _codes(chosen["code"].to_pylist()) if chosen.num_rows else np.zeros((1, 1), np.float32)
-
-        def each(batches, centre=centre):
-            for b in batches:
-                x = _codes(b.column("code").to_pylist())
-                at = _distances(x, centre).argmin(1) if len(x) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("code"), pa.array(at)], ["node", "code", "cell"])
-
-        celled = stash(codes.mapInArrow(each, "node long, code binary, cell long"))
-        parts = celled.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell)).alias("parts"))  # a large cell is split
-        dealt = celled.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(t)), "parts"))
-        found = dealt.groupBy("cell", "part").applyInArrow(lambda g: _nearest(g, k), "a long, b long, d float")
+        found = _cells(codes, t, pivots, cell).groupBy("cell", "part").applyInArrow(lambda g: _nearest(g, k), "a long, b long, d float")
         out = found if out is None else out.unionByName(found)
     return _best(out.withColumn("new", F.lit(1)), k)
 
 
+def _cells(codes: DataFrame, turn: int, pivots: int, cell: int, depth: int = 4) -> DataFrame:
+    """node, code, cell, part: nodes by nearest pivot; cells that are still large are divided by pivots of their own.
+
+    A cell is given at most `pivots` of its nodes as pivots at a time. What is large after `depth` divisions (nodes nearly
+    alike) is cut by hash.
+    """
+
+    def nearest_centre(b: pa.RecordBatch, centres) -> pa.RecordBatch:
+        """centres(cell, row): the codes of a cell's pivots, or None; row is a row of the cell."""
+        old, new = b.column("cell").to_numpy(), b.column("cell").to_numpy().copy()
+        x = _codes(b.column("code").to_pylist()) if b.num_rows else np.zeros((0, 1), np.float32)
+        for c in np.unique(old):
+            at = np.flatnonzero(old == c)
+            if own := centres(int(c), int(at[0])):
+                new[at] = c * (pivots + 1) + 1 + _distances(x[at], _codes(own)).argmin(1)
+        return pa.RecordBatch.from_arrays([b.column("node"), b.column("code"), pa.array(new)], ["node", "code", "cell"])
+
+    def divided(rows: DataFrame, centres: DataFrame) -> DataFrame:
+        form = "node long, code binary, cell long"
+        if centres.limit(FEW + 1).count() <= FEW:  # FEW * pivots vectors
+            known = rows.sparkSession.sparkContext.broadcast({r["cell"]: r["centres"] for r in centres.toArrow().to_pylist()})
+            return rows.select("node", "code", "cell").mapInArrow(lambda bs: (nearest_centre(b, lambda c, _: known.value.get(c)) for b in bs), form)
+        joined = rows.join(centres, "cell", "left").select("node", "code", "cell", "centres")
+        return joined.mapInArrow(lambda bs: (nearest_centre(b, lambda _, i, b=b: b.column("centres")[i].as_py()) for b in bs), form)
+
+    rows = codes.withColumn("cell", F.lit(0).cast("long"))
+    for level in range(depth):
+        sizes = rows.groupBy("cell").count().filter(F.col("count") > 2 * cell)
+        if sizes.isEmpty():
+            break
+        order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(turn * depth + level), "node"))
+        drawn = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= pivots)
+        own = drawn.join(sizes, "cell").filter(F.col("_n") <= F.greatest(F.lit(2), F.floor(F.col("count") / cell)))
+        rows = stash(divided(rows, stash(own.groupBy("cell").agg(F.collect_list("code").alias("centres")))))
+    parts = sized_side(stash(rows.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell)).alias("parts"))))
+    return rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), "parts"))
+
+
 def _best(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest b of each a; new is 0 where an edge was there before. Rows are dealt by a once, for both steps."""
     dealt = edges.repartition(partitions(edges.sparkSession), "a")

@@ -329,3 +329,19 @@ def test_packing_by_tokens(spark):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     assert got == {d: len(t.encode(x or "", add_special_tokens=False).ids) for d, x, _ in rows} and got[3] > 1
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_cells_are_divided_until_small(spark, monkeypatch, few):
+    monkeypatch.setattr(neighbours, "FEW", few)
+    r = np.random.RandomState(2)
+    nodes = spark.createDataFrame([(i, [float(v) for v in r.randn(8)]) for i in range(900)], "node long, x array<double>")
+    codes = neighbours._coded(nodes)
+    got = neighbours._cells(codes, 0, pivots=4, cell=20).toPandas()
+    assert sorted(got.node) == list(range(900)) and got.groupby(["cell", "part"]).size().max() <= 80 and got.cell.nunique() > 16
+    graph = neighbours.build(nodes, k=8, pivots=4, cell=20).toPandas()
+    x = np.stack([n.x for n in nodes.orderBy("node").collect()])
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, 1)[:, :8]
+    assert np.mean([len(set(near[a]) & set(g.b)) / 8 for a, g in graph.groupby("a")]) > 0.85
