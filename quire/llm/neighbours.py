@@ -117,16 +117,24 @@ def _cells(codes: DataFrame, turn: int, pivots: int, cell: int, depth: int = 4)
         joined = rows.join(centres, "cell", "left").select("node", "code", "cell", "centres")
         return joined.mapInArrow(lambda bs: (nearest_centre(b, lambda _, i, b=b: b.column("centres")[i].as_py()) for b in bs), form)
 
+    draw = F.xxhash64(F.lit(turn), "node")
     rows = codes.withColumn("cell", F.lit(0).cast("long"))
-    for level in range(depth):
-        sizes = rows.groupBy("cell").count().filter(F.col("count") > 2 * cell)
-        if sizes.isEmpty():
+    total = rows.count()
+    if total > 2 * cell:  # the first division: pivots of the whole table
+        first = rows.orderBy(draw, "node").limit(min(pivots, max(2, total // cell)))
+        rows = stash(divided(rows, stash(first.groupBy("cell").agg(F.collect_list("code").alias("centres")))))
+    for _ in range(depth - 1):
+        sizes = stash(rows.groupBy("cell").count())
+        large = sizes.filter(F.col("count") > 2 * cell)
+        if large.isEmpty():
             break
-        order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(turn * depth + level), "node"))
+        order = Window.partitionBy("cell").orderBy(draw, "node")
         drawn = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= pivots)
-        own = drawn.join(sizes, "cell").filter(F.col("_n") <= F.greatest(F.lit(2), F.floor(F.col("count") / cell)))
+        own = drawn.join(large, "cell").filter(F.col("_n") <= F.greatest(F.lit(2), F.floor(F.col("count") / cell)))
         rows = stash(divided(rows, stash(own.groupBy("cell").agg(F.collect_list("code").alias("centres")))))
-    parts = sized_side(stash(rows.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell)).alias("parts"))))
+    else:
+        sizes = stash(rows.groupBy("cell").count())
+    parts = sized_side(sizes.select("cell", F.ceil(F.col("count") / (2 * cell)).alias("parts")))
     return rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), "parts"))
 
 
@@ -135,7 +143,10 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     dealt = edges.repartition(partitions(edges.sparkSession), "a")
     one = dealt.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("new").alias("new"))
     w = Window.partitionBy("a").orderBy("d", "b")
-    return stash(one.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n"))
+    ranked = one.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
+    # the k-th distance of a node stands on its first row, infinite while it has fewer
+    worst = F.max(F.when(F.col("n") == k, F.col("d"))).over(Window.partitionBy("a"))
+    return stash(ranked.withColumn("worst", F.when(F.col("n") == 1, F.coalesce(worst, F.lit(float("inf")).cast("float")))))
 
 
 def _both_ways(graph: DataFrame, k: int, turn: int) -> DataFrame:
@@ -147,7 +158,7 @@ def _both_ways(graph: DataFrame, k: int, turn: int) -> DataFrame:
 
 def _local_join(graph: DataFrame, codes: DataFrame, k: int, turn: int) -> DataFrame:
     """(a, b, d): pairs of nodes with a common neighbour that are nearer than a's k-th."""
-    worst = graph.groupBy("a").agg(F.max("d").alias("worst"), F.count("*").alias("n")).select(F.col("a").alias("v"), F.when(F.col("n") < k, float("inf")).otherwise(F.col("worst")).cast("float").alias("worst"))
+    worst = graph.filter("n = 1").select(F.col("a").alias("v"), "worst")
     known = codes.withColumnRenamed("node", "v").join(worst, "v", "left")
     lists = _both_ways(graph, k, turn).join(known, "v").groupBy("u").agg(F.collect_list(F.struct("v", "code", "worst", "new")).alias("near"))  # 2k a node
 
@@ -181,7 +192,7 @@ def build(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, tables: int = TABL
     graph = _first_graph(codes, k, tables, pivots, cell)
     for turn in range(rounds):
         found = _local_join(graph, codes, k, turn).withColumn("new", F.lit(1))
-        graph = _best(graph.withColumn("new", F.lit(0)).unionByName(found), k)
+        graph = _best(graph.select("a", "b", "d", F.lit(0).alias("new")).unionByName(found), k)
         changed, total = graph.agg(F.coalesce(F.sum("new"), F.lit(0)), F.count("*")).first()
         if changed <= total // 200:
             break
