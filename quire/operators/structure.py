@@ -63,12 +63,14 @@ def titles(docs: DataFrame, fallback: Column) -> DataFrame:
 
 def raw_sections(docs: DataFrame, min_words: int = MIN_SECTION_WORDS) -> DataFrame:
     """doc_id, split_level, pos, title, body: sections at the split level, text in front of the first as its own or put before it."""
-    found = headings(docs)
-    level = split_levels(found)
-    cuts = found.join(level, "doc_id").filter("level = split_level").select("doc_id", "line", F.col("title").alias("_title"))
-    rows = lines(docs).join(level, "doc_id").join(cuts, ["doc_id", "line"], "left")
-    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("sec", F.count("_title").over(w))
+    doc, upto = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    head = ~F.col("in_fence") & F.col("text").rlike(T.HEADING)
+    rows = lines(docs).withColumn("_level", F.when(head, F.length(F.regexp_extract("text", T.HEADING, 1))))
+    # the split level by one count for each level, so that lines are dealt by document once
+    level = F.coalesce(*(F.when(F.count(F.when(F.col("_level") == n, 1)).over(doc) >= 2, n) for n in range(1, 7)))
+    rows = rows.withColumn("split_level", level).filter(F.col("split_level").isNotNull())
+    cut = F.coalesce(F.col("_level") == F.col("split_level"), F.lit(False))
+    rows = rows.withColumn("_title", F.when(cut, T.stripped(F.regexp_extract("text", T.HEADING, 2)))).withColumn("sec", F.count("_title").over(upto))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_title").isNull(), F.struct("line", "text")))), lambda x: x["text"]), "\n")
     parts = rows.groupBy("doc_id", "split_level", "sec").agg(F.max("_title").alias("title"), T.stripped(body).alias("body"))
     front = F.first(F.when(F.col("sec") == 0, F.col("body")), ignorenulls=True).over(Window.partitionBy("doc_id"))
