@@ -26,10 +26,10 @@ K = 24
 PIVOTS = 256
 TABLES = 3
 CELL = 600
-ROUNDS = 3
+ROUNDS = 5
 FEW = 64
-BEAM = 96
-EXPAND = 32
+BEAM = 320
+EXPAND = 96
 
 
 def usable(rows: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
