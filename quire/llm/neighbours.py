@@ -7,8 +7,9 @@ A query expands the nearest unexpanded nodes it knows, until the nearest `beam`
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
 without id or of another length than most; of rows repeating an id, the smallest vector counts; fewer candidates than k give
-all of them; an empty table gives no rows; ties go to the smaller id; extra columns are ignored. Graph rounds use vectors
-rounded to 8 bits; every returned score is the Euclidean distance of the original vectors in double precision.
+all of them; an empty table gives no rows; ties go to the smaller id; extra columns are ignored. Graph, lists and beam hold the
+original vectors (four bytes a component where that loses nothing, else eight), so that neither one vector of great length nor
+a dense group blurs the others; distances and scores are Euclidean, in double precision.
 Every row is indexed; nothing is fitted but pivots, at most `PIVOTS` nodes for each division of a cell.
 """
 
@@ -48,51 +49,51 @@ def _matrix(lists: pa.ListArray, kind=np.float64) -> np.ndarray:
     return flat.astype(kind).reshape(len(lists), -1) if len(lists) else np.zeros((0, 1), kind)
 
 
-def _scale(nodes: DataFrame) -> float:
-    return nodes.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0] or 1.0
+def _kind(nodes: DataFrame) -> str:
+    """The narrowest type that holds every component exactly."""
+    return "float32" if nodes.filter(F.exists("x", lambda c: c.cast("float").cast("double") != c)).isEmpty() else "float64"
 
 
-def _coded(nodes: DataFrame) -> DataFrame:
-    """node, code: vectors rounded to 8 bits at one scale."""
-    top = _scale(nodes)
+def _coded(nodes: DataFrame, kind: str) -> DataFrame:
+    """node, code: the bytes of a vector."""
 
     def each(batches):
         for b in batches:
-            code = np.rint(_matrix(b.column("x")) / top * 127).astype(np.int8)
+            code = _matrix(b.column("x")).astype(kind)
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in code], pa.binary())], ["node", "code"])
 
     return stash(nodes.select("node", "x").mapInArrow(each, "node long, code binary"))
 
 
-def _codes(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.int8).reshape(len(values), -1).astype(np.float32)
+def _codes(values: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
-def _nearest(table: pa.Table, k: int) -> pa.Table:
+def _nearest(table: pa.Table, k: int, kind: str) -> pa.Table:
     """(a, b, d): the k nearest of each node of a cell."""
-    node, x = table["node"].to_numpy(), _codes(table["code"].to_pylist())
+    node, x = table["node"].to_numpy(), _codes(table["code"].to_pylist(), kind)
     k = min(k, len(node) - 1)
     if k < 1:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "d": pa.array([], pa.float32())})
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
     d = _distances(x, x)
     np.fill_diagonal(d, np.inf)
     near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return pa.table({"a": np.repeat(node, k), "b": node[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel().astype(np.float32)})
+    return pa.table({"a": np.repeat(node, k), "b": node[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel()})
 
 
-def _first_graph(codes: DataFrame, k: int, tables: int, pivots: int, cell: int) -> DataFrame:
+def _first_graph(codes: DataFrame, kind: str, k: int, tables: int, pivots: int, cell: int) -> DataFrame:
     out = None
     for t in range(tables):
-        found = _cells(codes, t, pivots, cell).groupBy("cell", "part").applyInArrow(lambda g: _nearest(g, k), "a long, b long, d float")
+        found = _cells(codes, kind, t, pivots, cell).groupBy("cell", "part").applyInArrow(lambda g: _nearest(g, k, kind), "a long, b long, d double")
         out = found if out is None else out.unionByName(found)
     return _best(out.withColumn("new", F.lit(1)), k)
 
 
-def _cells(codes: DataFrame, turn: int, pivots: int, cell: int, depth: int = 4) -> DataFrame:
+def _cells(codes: DataFrame, kind: str, turn: int, pivots: int, cell: int, depth: int = 4) -> DataFrame:
     """node, code, cell, part: nodes by nearest pivot; cells that are still large are divided by pivots of their own.
 
     A cell is given at most `pivots` of its nodes as pivots at a time. What is large after `depth` divisions (nodes nearly
@@ -102,11 +103,11 @@ def _cells(codes: DataFrame, turn: int, pivots: int, cell: int, depth: int = 4)
     def nearest_centre(b: pa.RecordBatch, centres) -> pa.RecordBatch:
         """centres(cell, row): the codes of a cell's pivots, or None; row is a row of the cell."""
         old, new = b.column("cell").to_numpy(), b.column("cell").to_numpy().copy()
-        x = _codes(b.column("code").to_pylist()) if b.num_rows else np.zeros((0, 1), np.float32)
+        x = _codes(b.column("code").to_pylist(), kind) if b.num_rows else np.zeros((0, 1))
         for c in np.unique(old):
             at = np.flatnonzero(old == c)
             if own := centres(int(c), int(at[0])):
-                new[at] = c * (pivots + 1) + 1 + _distances(x[at], _codes(own)).argmin(1)
+                new[at] = c * (pivots + 1) + 1 + _distances(x[at], _codes(own, kind)).argmin(1)
         return pa.RecordBatch.from_arrays([b.column("node"), b.column("code"), pa.array(new)], ["node", "code", "cell"])
 
     def divided(rows: DataFrame, centres: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     ranked = one.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
     # the k-th distance of a node stands on its first row, infinite while it has fewer
     worst = F.max(F.when(F.col("n") == k, F.col("d"))).over(Window.partitionBy("a"))
-    return stash(ranked.withColumn("worst", F.when(F.col("n") == 1, F.coalesce(worst, F.lit(float("inf")).cast("float")))))
+    return stash(ranked.withColumn("worst", F.when(F.col("n") == 1, F.coalesce(worst, F.lit(float("inf"))))))
 
 
 def _both_ways(graph: DataFrame, k: int, turn: int) -> DataFrame:
@@ -156,7 +157,7 @@ def _both_ways(graph: DataFrame, k: int, turn: int) -> DataFrame:
     return graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "new").unionByName(back)
 
 
-def _local_join(graph: DataFrame, codes: DataFrame, k: int, turn: int) -> DataFrame:
+def _local_join(graph: DataFrame, codes: DataFrame, kind: str, k: int, turn: int) -> DataFrame:
     """(a, b, d): pairs of nodes with a common neighbour that are nearer than a's k-th."""
     worst = graph.filter("n = 1").select(F.col("a").alias("v"), "worst")
     known = codes.withColumnRenamed("node", "v").join(worst, "v", "left")
@@ -169,7 +170,7 @@ def _local_join(graph: DataFrame, codes: DataFrame, k: int, turn: int) -> DataFr
                 flat, cut = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
                 v, new = flat.field("v").to_numpy(), flat.field("new").to_numpy() > 0
                 worst = flat.field("worst").fill_null(float("inf")).to_numpy(zero_copy_only=False)
-                x = _codes(flat.field("code").to_pylist()) if len(flat) else np.zeros((0, 1), np.float32)
+                x = _codes(flat.field("code").to_pylist(), kind) if len(flat) else np.zeros((0, 1))
                 out = []
                 for s, e in zip(cut, cut[1:]):
                     if not new[s:e].any():
@@ -181,17 +182,18 @@ def _local_join(graph: DataFrame, codes: DataFrame, k: int, turn: int) -> DataFr
                 if out:
                     a, c, d = (np.concatenate(z) for z in zip(*out))
                     _, first = np.unique(np.stack([a, c], 1), axis=0, return_index=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(c[first]), pa.array(d[first].astype(np.float32))], ["a", "b", "d"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(c[first]), pa.array(d[first])], ["a", "b", "d"])
 
-    return lists.mapInArrow(each, "a long, b long, d float")
+    return lists.mapInArrow(each, "a long, b long, d double")
 
 
 def build(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, tables: int = TABLES, pivots: int = PIVOTS, cell: int = CELL) -> DataFrame:
     """(a, b, d): about k near neighbours of each node of nodes (node, x)."""
-    codes = _coded(nodes)
-    graph = _first_graph(codes, k, tables, pivots, cell)
+    kind = _kind(nodes)
+    codes = _coded(nodes, kind)
+    graph = _first_graph(codes, kind, k, tables, pivots, cell)
     for turn in range(rounds):
-        found = _local_join(graph, codes, k, turn).withColumn("new", F.lit(1))
+        found = _local_join(graph, codes, kind, k, turn).withColumn("new", F.lit(1))
         graph = _best(graph.select("a", "b", "d", F.lit(0).alias("new")).unionByName(found), k)
         changed, total = graph.agg(F.coalesce(F.sum("new"), F.lit(0)), F.count("*")).first()
         if changed <= total // 200:
@@ -203,17 +205,18 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = B
     """queries (query, x, entry: a node) to (query, node, score): up to `beam` near nodes of each.
 
     A query is a row of what it knows. In each round the nodes it expands are joined with their neighbours, which
-    carry their rounded vectors, and what was reached is merged into the row. The last step scores with original vectors.
+    carry their vectors, and what was reached is merged into the row. The last step scores by differences of components.
     """
     spark = nodes.sparkSession
-    top, codes = _scale(nodes), _coded(nodes)
+    kind = _kind(nodes)
+    codes = _coded(nodes, kind)
     n = partitions(spark)
     near = _both_ways(graph, k, 0).join(codes.withColumnRenamed("node", "v"), "v")
     # dealt by node once; kept for the rounds, and made again from the stored graph where an executor is lost
     lists = near.groupBy("u").agg(F.collect_list(F.struct("v", "code")).alias("near")).repartition(n, "u").persist(StorageLevel.MEMORY_AND_DISK)
     start = queries.join(codes.withColumnRenamed("node", "entry"), "entry").select("query", "x", F.array(F.struct(F.col("entry").alias("v"), "code")).alias("near"))
-    state = "query long, x array<double>, node array<long>, d array<float>, done array<boolean>"
-    none = {"node": "array<long>", "d": "array<float>", "done": "array<boolean>"}
+    state = "query long, x array<double>, node array<long>, d array<double>, done array<boolean>"
+    none = {"node": "array<long>", "d": "array<double>", "done": "array<boolean>"}
     rows = start.select("query", "x", *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "near")
 
     def merge(t: pa.Table) -> pa.Table:
@@ -221,18 +224,16 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = B
         row = next(i for i, x in enumerate(t["x"].to_pylist()) if x is not None)
         x = np.asarray(t["x"][row].as_py())
         old = np.asarray(t["node"][row].as_py() or [], np.int64)
-        d, done = np.asarray(t["d"][row].as_py() or [], np.float32), np.asarray(t["done"][row].as_py() or [], bool)
+        d, done = np.asarray(t["d"][row].as_py() or [], np.float64), np.asarray(t["done"][row].as_py() or [], bool)
         flat = t["near"].combine_chunks().flatten()
         v, first = np.unique(flat.field("v").to_numpy(), return_index=True)
         fresh = ~np.isin(v, old)
         v, first = v[fresh], first[fresh]
         if len(v):
-            code = _codes([c for c in flat.field("code").take(pa.array(first)).to_pylist()])
-            q = (x / top * 127).astype(np.float32)
-            far = ((code - q) ** 2).sum(1)
+            far = ((_codes(flat.field("code").take(pa.array(first)).to_pylist(), kind) - x) ** 2).sum(1)
             old, d, done = np.concatenate([old, v]), np.concatenate([d, far]), np.concatenate([done, np.zeros(len(v), bool)])
         best = np.lexsort((old, d))[:beam]
-        return pa.table({"query": t["query"].slice(row, 1), "x": t["x"].slice(row, 1), "node": pa.array([old[best]]), "d": pa.array([d[best]], pa.list_(pa.float32())), "done": pa.array([done[best]])})
+        return pa.table({"query": t["query"].slice(row, 1), "x": t["x"].slice(row, 1), "node": pa.array([old[best]]), "d": pa.array([d[best]], pa.list_(pa.float64())), "done": pa.array([done[best]])})
 
     try:
         while True:

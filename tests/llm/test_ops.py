@@ -309,6 +309,19 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0 and neighbours.nearest(df.filter("vec_id in (100, 3)")).count() == 1
 
 
+def test_neighbours_in_a_dense_group_beside_a_large_vector(spark):
+    r = np.random.RandomState(2)
+    x = np.concatenate([r.randn(1, 16) + 1e-4 * r.randn(1000, 16), r.randn(200, 16), np.full((1, 16), 1e6)]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got, hit = defaultdict(set), 0
+    for g in neighbours.nearest(df, every=100).collect():
+        got[g.query_id].add(g.vec_id)
+    for q, found in got.items():
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        hit += len(set(np.argsort(d)[1:11]) & found)
+    assert len(got) == 13 and hit / (10 * len(got)) >= 0.95
+
+
 def test_sweep(spark):
     from quire.llm import common
 
