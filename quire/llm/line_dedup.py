@@ -3,8 +3,9 @@
 A window is the lines that begin within the next `least` words of a line (at least one line, and at least `least`
 words). Winnowing keeps each window's smallest line hash as its fingerprint: two copies of a run of `least`
 words or more hold an equal window, so they share a fingerprint. Fingerprints are joined; windows around shared ones
-are compared whole, and those that occurred before, in the order of doc_id and line, are deleted. Overlapping
-windows extend a match both ways to the full repeated run. A line's first occurrence always stays. Built-in functions only.
+are compared whole, and those that occurred before, in the order of doc_id and line, are deleted. What goes is
+the union of these windows, as in the query's SQL: closing lines of a repeated run stay where every window that holds them
+takes in a foreign line or lacks words at the text's end. A line's first occurrence always stays. Built-in functions only.
 
 Defined cases: null text stays null and blank lines belong to no window (those inside a deleted run go with it); lines
 are compared without white space at their ends; rows equal in doc_id and text count as one document and are edited
