@@ -63,29 +63,42 @@ def offsets(counts: DataFrame, group: list[str], order: list[str], n: str, out:
     return counts.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0).cast("long")))
 
 
-def top(rows: DataFrame, key: str, k: int, ties: list[str], cells: int = 512) -> DataFrame:
-    """rows with a boolean column chosen: the k rows of largest key (double), ties by the columns in ties.
+def top(rows: DataFrame, key: str, k: int, tie: str, cells: int = 512) -> DataFrame:
+    """rows with a boolean column chosen: the k rows of largest key (double), then of smallest tie (long).
 
-    Quantiles of the key cut the rows into cells; only the cell in which the k-th row lies is ordered.
+    Only counts are gathered, never rows: quantiles cut a range of keys into cells, and the cell in which the k-th row lies is
+    cut again until it is one value. Rows equal in both are chosen or not together; more than k if they stand at the end.
     """
-    marks = rows.agg(F.percentile_approx(key, F.lit([i / cells for i in range(1, cells)]), 10_000)).first()[0]
-    edges = sorted({*(marks or [])})
-    cell = F.lit(0)
-    if edges:
-        # number of edges below the key, by binary search over the bounded list of edges
-        cell = F.size(F.filter(F.lit(edges), lambda e: e < F.col(key)))
-    celled = rows.withColumn("_cell", cell)
-    above, cut = 0, None
-    for r in celled.groupBy("_cell").count().orderBy(F.desc("_cell")).collect():  # cells rows at most
-        if above + r["count"] > k:
-            cut = r["_cell"]
-            break
-        above += r["count"]
-    if cut is None:
-        return celled.withColumn("chosen", F.lit(True)).drop("_cell")
-    w = Window.partitionBy("_cell").orderBy(F.desc(key), *ties)
-    edge = celled.filter(F.col("_cell") == cut).withColumn("chosen", F.row_number().over(w) <= k - above)
-    return celled.filter(F.col("_cell") != cut).withColumn("chosen", F.col("_cell") > cut).unionByName(edge).drop("_cell")
+
+    def last(some: DataFrame, by: Column, need: int):
+        """The value of `by` (rising) of the row number `need`, and how many rows are below it."""
+        low, below = None, 0
+        while True:
+            inside = some if low is None else some.filter(by > low)
+            marks, least = inside.agg(F.percentile_approx(by, F.lit([i / cells for i in range(1, cells + 1)]), 10_000), F.min(by)).first()
+            edges = sorted({least, *marks})  # with the least value, so that a cell of two values is always cut
+            at = F.size(F.filter(F.lit(edges), lambda e: e < by))  # number of edges below, over a bounded list
+            found = inside.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(by).alias("a"), F.max(by).alias("b")).orderBy("at").collect()  # `cells` rows and one
+            for r in found:
+                if below + r["n"] >= need:
+                    break
+                low, below = r["b"], below + r["n"]
+            if r["a"] == r["b"]:
+                return r["a"], below
+            some = some.filter(by <= F.lit(r["b"]))
+
+    if k <= 0:
+        return rows.withColumn("chosen", F.lit(False))
+    if rows.count() <= k:
+        return rows.withColumn("chosen", F.lit(True))
+    falls = -F.col(key)
+    edge, before = last(rows, falls, k)
+    here = falls == F.lit(edge)
+    some = rows.filter(here)
+    if some.count() == k - before:
+        return rows.withColumn("chosen", falls <= F.lit(edge))
+    mark, _ = last(some, F.col(tie), k - before)
+    return rows.withColumn("chosen", (falls < F.lit(edge)) | here & (F.col(tie) <= F.lit(mark)))
 
 
 #: Rows of a few numbers that may be sent to every executor (about 32 MB); more are joined by a shuffle.

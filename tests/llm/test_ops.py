@@ -278,8 +278,96 @@ def test_exact_top(spark):
     rows = [(i, float(r.choice([1, 2, 2, 3, 9, float("-inf")]) + r.random() * (i % 3))) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, key double")
     for k in (0, 1, 77, 499, 500, 900):
-        got = {x.id for x in top(df, "key", k, ["id"], cells=16).filter("chosen").collect()}
+        got = {x.id for x in top(df, "key", k, "id", cells=16).filter("chosen").collect()}
         assert got == {i for i, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[:k]}
+    same = spark.createDataFrame([(7, 1.0)] * 50 + [(8, 2.0), (9, 1.0)], "id long, key double")
+    assert [top(same, "key", k, "id").filter("chosen").count() for k in (1, 2, 51, 52)] == [1, 51, 51, 52]
+
+
+def plain_quality(rows, labels, buckets, sample, length):
+    """n_grams and log_ratio of each row by Python's own loops over words and bytes."""
+    import pandas as pd
+
+    M = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 31
+        x = x * 0x7FB5D329728EA185 & M
+        x ^= x >> 27
+        x = x * 0x81DADEF4BC2DD44D & M
+        return x ^ x >> 33
+
+    def grams(t):
+        t = t or ""
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        h = [int(x) for x in pd.util.hash_array(np.array([x.encode() for x in w], object), categorize=False)] if w else []
+        b = t.encode()
+        return [mixed(x) % buckets for x in h] + [mixed((x * 3 + y) & M) % buckets for x, y in zip(h, h[1:])], [mixed(int.from_bytes(b[i : i + 4], "little")) % buckets for i in range(len(b) - 3)]
+
+    raw, target = [[1] * buckets, [1] * buckets], [[1] * buckets, [1] * buckets]
+    for d, t in rows:
+        for kind, g in enumerate(grams(t)):
+            for x in g:
+                raw[kind][x] += 1
+                target[kind][x] += labels.get(d) == 1
+    w = [[math.log(target[k][x] / sum(target[k]) / (raw[k][x] / sum(raw[k]))) for x in range(buckets)] for k in (0, 1)]
+    return [(d, len(grams(t)[0]), sum(sum(w[k][x] for x in g) / max(1, len(g)) for k, g in enumerate(grams(t))) * length / 2 if grams(t)[0] else 0.0) for d, t in rows]
+
+
+def test_quality_equals_plain_python(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(i, " ".join(words(r, r.randint(0, 60)))) for i in range(60)] + [(70, None), (71, ""), (72, "é ß\u00a0x Ab AB"), (None, "a b c")]
+    labels = {i: int(i % 3 > 0) for i in range(40)}
+    df = frame(spark, [(d, t, "s") for d, t in rows])
+    lab = spark.createDataFrame([(d, q, 0) for d, q in labels.items()], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "RUN", 64)  # runs end inside texts
+    apart = {x._lid for x in lab.select(F.col("doc_id").alias("_lid")).filter(F.pmod(F.xxhash64(F.lit(12), "_lid"), F.lit(3)) == 0).collect()}
+    want = plain_quality(rows, {d: q for d, q in labels.items() if d not in apart}, 256, 100, 512)
+    got = sorted(((x.doc_id, x.n_grams, x.log_ratio) for x in quality.score(df, lab, buckets=256).collect()), key=str)
+    for a, b in zip(got, sorted(want, key=str), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-2
+
+
+def test_very_long_text_in_bounded_memory():
+    """One text of 50 MB: n-grams and shingles beside it take a bounded part of its size."""
+    import resource
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np, pyarrow as pa
+from quire.llm import quality, shingling
+r = np.random.RandomState(0)
+text = " ".join(f"w{x}" for x in r.randint(0, 50000, 1 << 20)) * 8
+t = pa.array([text], pa.string())
+size = len(text); del text
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(len(x) for _, x, _ in quality.grams(t, 1 << 16))
+peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert n > size, n
+h, start = shingling.shingle_sets(t)
+last = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+print(size // 1024, peak - base, last - base, len(h))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/", 3)[0]).stdout.split()
+    size, grams_kb, sets_kb = int(out[0]), int(out[1]), int(out[2])
+    assert size > 45_000 and grams_kb < 5 * size and sets_kb < 9 * size and int(out[3]) > 1_000_000
+    assert resource.RUSAGE_SELF == 0
+
+
+def test_long_text_in_pieces_has_the_same_words(monkeypatch):
+    from quire.llm import shingling
+
+    import pyarrow as pa
+
+    r = random.Random(9)
+    text = "  ".join([*words(r, 4000), "x" * 500, "É" * 90, *words(r, 500)]) + " \n"
+    whole = [z.tolist() for z in (*shingling.word_hashes(pa.array([text, None])), *shingling.shingle_sets(pa.array([text])))]
+    monkeypatch.setattr(shingling, "PIECE", 64)
+    monkeypatch.setattr(shingling, "RUN", 100)
+    again = [z.tolist() for z in (*shingling.word_hashes(pa.array([text])), *shingling.shingle_sets(pa.array([text])))]
+    assert again[0] == whole[0] and again[1] == whole[1][:2] and again[2:] == whole[2:]
 
 
 def test_neighbours(spark):
