@@ -1,11 +1,12 @@
 """Line dedup: later repeats of runs of lines are deleted.
 
-A window is the lines that begin within the next `least` words of a line (at least one line, and at least `least`
-words). Winnowing keeps each window's smallest line hash as its fingerprint: two copies of a run of `least`
-words or more hold an equal window, so they share a fingerprint. Fingerprints are joined; windows around shared ones
-are compared whole, and those that occurred before, in the order of doc_id and line, are deleted. What goes is
-the union of these windows, as in the query's SQL: closing lines of a repeated run stay where every window that holds them
-takes in a foreign line or lacks words at the text's end. A line's first occurrence always stays. Built-in functions only.
+A window is the least run of lines from a line on, or up to a line, that has `least` words. Winnowing selects fingerprints:
+of each window the least line hash, with its place. Two copies of a run of `least` words or more hold equal windows, so both
+have the same fingerprints at the same places of the run. Fingerprints are joined by hash; those found at one place only go no further.
+From each place of a shared fingerprint the match is extended both ways over the windows that it was selected from, and compared with the
+first place where the same lines stand around the same fingerprint. Windows up to a line reach a run's closing
+lines as those from a line on reach its opening ones, so all of a repeated run goes: a line is deleted just when it lies in a run of
+`least` words or more that stood before, in the order of doc_id and line. Its first occurrence always stays. Built-in functions only.
 
 Defined cases: null text stays null and blank lines belong to no window (those inside a deleted run go with it); lines
 are compared without white space at their ends; rows equal in doc_id and text count as one document and are edited
@@ -22,30 +23,38 @@ from quire.llm.common import SMALL, keyed, stash, word_count, wrapped
 LEAST = 32
 
 
-def windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """_id, _h, pos, last, run (hash of the window's lines), mark (its fingerprint), mark_pos: a row for each full window."""
-    rows = keyed(docs).select("_id", "_h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select("_id", "_h", "pos", F.xxhash64(F.trim(F.regexp_replace("line", r"^[\x09-\x0D]+|[\x09-\x0D]+$", ""))).alias("lh"), word_count(F.col("line")).alias("w")).filter("w > 0")
-    doc = Window.partitionBy("_id", "_h").orderBy("pos")
-    rows = rows.withColumn("s", F.sum("w").over(doc.rowsBetween(Window.unboundedPreceding, -1))).fillna({"s": 0})
+def fingerprints(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """_id, _h, mark, place, around: a row for each selected line, with its hash, its number and the windows (run: hash of the
+    lines; first, last: numbers of lines) that it was selected from."""
+    line = lambda x: F.struct(F.xxhash64(F.trim(F.regexp_replace(x, r"^[\x09-\x0D]+|[\x09-\x0D]+$", ""))).alias("lh"), word_count(x).cast("int").alias("w"))
+    # repeated rows are one document; only hashes and counts of lines are dealt out
+    once = keyed(docs).select("_id", "_h", F.transform(F.split("text", "\n"), line).alias("lines")).filter("lines is not null").groupBy("_id", "_h").agg(F.first("lines").alias("lines"))
+    rows = once.select("_id", "_h", F.posexplode("lines").alias("pos", "line")).select("_id", "_h", "pos", "line.lh", "line.w").filter("w > 0")
+    rows = rows.withColumn("e", F.sum("w").over(Window.partitionBy("_id", "_h").orderBy("pos"))).withColumn("s", F.col("e") - F.col("w"))
     ahead = Window.partitionBy("_id", "_h").orderBy("s").rangeBetween(0, least - 1)
-    return (
-        rows.withColumn("_lines", F.collect_list("lh").over(ahead)).withColumn("_words", F.sum("w").over(ahead)).withColumn("last", F.max("pos").over(ahead))
-        .withColumn("_mark", F.min(F.struct("lh", "pos")).over(ahead))
-        .filter(F.col("_words") >= least)
-        .select("_id", "_h", "pos", "last", F.xxhash64("_lines").alias("run"), F.col("_mark.lh").alias("mark"), F.col("_mark.pos").alias("mark_pos"))
-    )
+    back = Window.partitionBy("_id", "_h").orderBy("e").rangeBetween(1 - least, 0)
+    windows = [
+        F.when(
+            F.sum("w").over(w) >= least,
+            F.struct(F.min(F.struct("lh", "pos")).over(w).alias("mark"), F.xxhash64(F.collect_list("lh").over(w)).alias("run"), F.min("pos").over(w).alias("first"), F.max("pos").over(w).alias("last")),
+        )
+        for w in (ahead, back)
+    ]
+    found = rows.select("_id", "_h", F.array(*windows).alias("each")).select("_id", "_h", F.explode(F.filter("each", lambda w: w.isNotNull())).alias("w"))
+    return found.groupBy("_id", "_h", F.col("w.mark.lh").alias("mark"), F.col("w.mark.pos").alias("place")).agg(F.collect_set(F.struct("w.run", "w.first", "w.last")).alias("around"))
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """_id, _h, gone (line numbers from 0): a row for each document that loses lines."""
-    found = stash(windows(docs, least).distinct())
-    shared = found.groupBy("mark").agg(F.min(F.struct("_id", "_h", "mark_pos")).alias("a"), F.max(F.struct("_id", "_h", "mark_pos")).alias("b")).filter("a <> b").select("mark")
-    near = found.join(shared, "mark", "left_semi")
-    at = F.struct((F.col("_id") == F.lit(-(1 << 63))).alias("unknown"), "_id", "_h", "pos")
-    first = near.groupBy("run").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = near.withColumn("_at", at).join(first, "run").filter(F.col("_at") != F.col("first"))
-    return later.groupBy("_id", "_h").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", "last")))).alias("gone"))
+    found = stash(fingerprints(docs, least))
+    at = F.struct("_id", "_h", "place")
+    shared = stash(found.groupBy("mark").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("mark"))
+    # both ways from each place of a shared fingerprint
+    matched = stash(found.join(shared, "mark", "left_semi").select("_id", "_h", "mark", F.explode("around").alias("w")).select("_id", "_h", "mark", "w.*"))
+    before = F.struct((F.col("_id") == F.lit(-(1 << 63))).alias("unknown"), "_id", "_h", "first")
+    origin = stash(matched.groupBy("mark", "run").agg(F.min(before).alias("origin"), F.max(before).alias("final")).filter("origin <> final").drop("final"))
+    later = matched.join(origin, ["mark", "run"]).filter(before != F.col("origin"))
+    return later.groupBy("_id", "_h").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("gone"))
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:

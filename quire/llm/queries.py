@@ -74,13 +74,16 @@ WITH lines AS (
   SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM lines
 ), placed AS (
   SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM counted WHERE w > 0
-), ahead AS (
-  SELECT doc_id, pos, max(pos) OVER f AS last, list(line) OVER f AS run, sum(w) OVER f AS words FROM placed
+), windows AS (
+  SELECT doc_id, pos AS first, max(pos) OVER f AS last, list(line) OVER f AS run, sum(w) OVER f AS words FROM placed
   WINDOW f AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 31 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, min(pos) OVER b, pos, list(line) OVER b, sum(w) OVER b FROM placed
+  WINDOW b AS (PARTITION BY doc_id ORDER BY s + w RANGE BETWEEN 31 PRECEDING AND CURRENT ROW)
 ), ranked AS (
-  SELECT doc_id, pos, last, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM ahead WHERE words >= 32
+  SELECT doc_id, first, last, rank() OVER (PARTITION BY run ORDER BY doc_id, first) AS nth FROM windows WHERE words >= 32
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM ranked WHERE nth > 1
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM ranked WHERE nth > 1
 )
 SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text
 FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
