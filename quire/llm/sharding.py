@@ -4,8 +4,8 @@ Records hash into a fixed number of slots, bytes are summed by slot, and a small
 shard owns each slot. Rebalancing edits that table only; a record's slot never changes.
 
 Records of equal text hash to one slot, so copies share a shard, unless the copies together outweigh a
-shard's fair part: such a group is spread over slots by doc_id. The law is `bytes`: shards get nearly
-equal sums of sizes.
+shard's fair part or are very many: such a group is spread over slots by doc_id, and row by row where equal ids (or none)
+leave it as heavy. The law is `bytes`: shards get nearly equal sums of sizes.
 
 Defined cases: null text has no bytes and size 16; an empty table gives no rows; repeated rows are placed row
 by row; extra columns of the input are ignored. Nothing is collected but totals by slot (as many as slots).
@@ -23,6 +23,8 @@ from quire.llm.common import offsets, shared_dir, stash
 
 SLOTS = 4096
 OVERHEAD = 16
+#: Rows of equal texts that always stay together, unless they outweigh a shard.
+TOGETHER = 10_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -36,19 +38,23 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def slotted(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+def slotted(rows: DataFrame, shards: int, slots: int = SLOTS, together: int = TOGETHER) -> DataFrame:
     """rows with vslot, from 0 to slots - 1."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    fair = max(1, total // shards)
-    heavy = (  # at most `shards` groups can outweigh a fair part
-        rows.groupBy("text_hash").agg(F.sum("size").alias("_group")).filter(F.col("_group") > fair)
-    )
-    spread = F.when(F.col("_group").isNotNull(), F.coalesce(F.col("doc_id"), F.lit(-1)))
-    return (
-        rows.join(F.broadcast(heavy), "text_hash", "left")
-        .withColumn("vslot", F.pmod(F.xxhash64("text_hash", spread), F.lit(slots)).cast("int"))
-        .drop("_group")
-    )
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    fair, many = max(1, total // shards), max(together, 4 * n // slots)
+
+    def heavy(*by: str) -> DataFrame:
+        """Groups that outweigh a shard or hold very many rows: no more than shards + slots / 4 of them."""
+        groups = rows.groupBy(*by).agg(F.sum("size").alias("_bytes"), F.count("*").alias("_n"))
+        return F.broadcast(groups.filter((F.col("_bytes") > fair) | (F.col("_n") > many)).select(*by, F.lit(True).alias(f"_by_{by[-1]}")))
+
+    # copies are spread by their ids; rows that repeat an id too, or have none, row by row
+    placed = rows.join(heavy("text_hash"), "text_hash", "left")
+    same = heavy("text_hash", "doc_id").withColumnsRenamed({"text_hash": "_text", "doc_id": "_doc"})
+    placed = placed.join(same, (F.col("text_hash") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    by_id = F.when(F.col("_by_text_hash"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    by_row = F.when(F.col("_by_doc_id"), F.monotonically_increasing_id())
+    return placed.withColumn("vslot", F.pmod(F.xxhash64("text_hash", by_id, by_row), F.lit(slots)).cast("int")).select(*rows.columns, "vslot")
 
 
 def assign(loads: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int, int]:
@@ -92,14 +98,27 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version}")
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (place in the shard, from 0), grown_shard, vslot."""
+def rebalance(rows: DataFrame, path: str, version: int, shards: int) -> DataFrame:
+    """Reads the map of a version, gives one more shard its part of rows' bytes (vslot, size) and writes the next version."""
+    spark = rows.sparkSession
+    owner = {r.vslot: r.shard for r in load_map(spark, path, version).collect()}  # `slots` rows
+    loads = {r.vslot: r.b for r in rows.groupBy("vslot").agg(F.sum("size").alias("b")).collect()}
+    save_map(spark, grow(owner, loads, shards), path, version + 1)
+    return load_map(spark, path, version + 1)
+
+
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None, version: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (place in the shard, from 0), grown_shard, vslot.
+
+    With a version, the stored map of it is used; without one, version 1 is made and written.
+    """
     spark = docs.sparkSession
     rows = stash(slotted(stash(sized(docs)), shards, slots))
-    loads = {r.vslot: r.b for r in rows.groupBy("vslot").agg(F.sum("size").alias("b")).collect()}  # `slots` rows at most
     path = map_path or f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    save_map(spark, assign(loads, shards, slots), path, 1)
-    owner = F.broadcast(load_map(spark, path, 1))  # `slots` rows
+    if version is None:
+        loads = {r.vslot: r.b for r in rows.groupBy("vslot").agg(F.sum("size").alias("b")).collect()}  # `slots` rows at most
+        save_map(spark, assign(loads, shards, slots), path, 1)
+    owner = F.broadcast(load_map(spark, path, version or 1))  # `slots` rows
     first = offsets(rows.groupBy("vslot").agg(F.count("*").alias("n")).join(owner, "vslot"), ["shard"], ["vslot"], "n", "before")
     place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_hash"))
     return (
