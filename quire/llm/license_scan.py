@@ -9,9 +9,9 @@ nothing is lost by that. A match is a window that contains 75 % or more of the t
 where related templates (versions of one license) match overlapping windows, those of greatest containment stand. Built-in functions only.
 
 Defined cases: null and empty texts match nothing; a text of fewer than five words is one shingle; a document that
-matches a template in several windows gives one row, with the best containment and the first such word; rows equal
-in doc_id and text count as one document; an empty table gives no rows; extra columns are ignored. Templates are a
-short list and may be broadcast.
+matches a template in several windows gives one row, with the best containment and the place of the first word there that begins
+a shingle of the template; rows equal in doc_id and text count as one document; an empty table gives no rows; extra
+columns are ignored. Templates are a short list and may be broadcast; those of fewer than five words are no licence text and are passed over.
 """
 
 from __future__ import annotations
@@ -44,6 +44,10 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-sentence": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -102,15 +106,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
         parts = F.lit(sorted({x for r in rows for x in r.parts}))
         starts = F.sequence(F.lit(0), F.greatest(F.size("sh") - 1, F.lit(0)), F.lit(size // 2))
         windows = F.filter(F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("sh", s + 1, size).alias("part"))), lambda w: F.arrays_overlap(w["part"], parts))
-        cut = some.select("doc_id", "_id", "_h", F.explode(windows).alias("w")).select("doc_id", "_id", "_h", "w.start", F.array_distinct("w.part").alias("part"))
+        cut = some.select("doc_id", "_id", "_h", F.explode(windows).alias("w")).select("doc_id", "_id", "_h", "w.start", F.col("w.part").alias("raw"), F.array_distinct("w.part").alias("part"))
         bands_of = cut.select("*", F.posexplode(signature(F.col("part"), bands)).alias("band", "value"))
         plate = spark.createDataFrame([(r.license, r.parts, kin) for r, kin in zip(rows, relatives(rows))], "license string, parts array<long>, kin int")
         plate = F.broadcast(plate.select("license", "parts", "kin", F.posexplode(signature(F.col("parts"), bands)).alias("band", "value")))
         hits = bands_of.join(plate, ["band", "value"]).dropDuplicates(["_id", "_h", "start", "license"])
         share = F.size(F.array_intersect("part", "parts")) / F.size("parts")
-        here = hits.select("doc_id", "_id", "_h", "license", "kin", "start", share.alias("containment")).filter(F.col("containment") * 100 >= percent)
+        own = F.transform(F.col("raw"), lambda x, i: F.when(F.array_contains("parts", x), i))
+        word = F.col("start") + F.array_min(F.filter(own, lambda i: i.isNotNull()))
+        here = hits.select("doc_id", "_id", "_h", "license", "kin", "start", word.alias("word"), share.alias("containment")).filter(F.col("containment") * 100 >= percent)
         around = Window.partitionBy("_id", "_h", "kin").orderBy("start").rangeBetween(1 - size, size - 1)
         here = here.withColumn("_best", F.max("containment").over(around)).filter("containment = _best").drop("_best", "kin")
         found = here if found is None else found.unionByName(here)
-    best = found.groupBy("_id", "_h", "license").agg(F.first("doc_id").alias("doc_id"), F.max("containment").alias("containment"), F.min_by("start", F.struct(-F.col("containment"), "start")).cast("long").alias("first_word"), F.count("*").alias("windows"))
+    best = found.groupBy("_id", "_h", "license").agg(F.first("doc_id").alias("doc_id"), F.max("containment").alias("containment"), F.min_by("word", F.struct(-F.col("containment"), "word")).cast("long").alias("first_word"), F.count("*").alias("windows"))
     return best.select("doc_id", "license", "containment", "first_word", "windows")
