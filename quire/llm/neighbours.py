@@ -2,7 +2,7 @@
 
 Equal vectors form one node, so that copies, however many, cannot fill a node's list. The graph begins with exact
 neighbours inside small cells around random pivots and is improved by rounds in which neighbours of a common node
-(forward and sampled backward) are compared with each other and kept where they are nearer than what a node has.
+(forward and sampled backward) are compared with each other and kept where they are nearer than what a node has, until few change.
 A query expands the nearest unexpanded nodes it knows, until the nearest `beam` are all expanded.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
@@ -15,6 +15,8 @@ Every row is indexed; nothing is fitted but pivots, at most `PIVOTS` nodes for e
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -27,21 +29,23 @@ K = 24
 PIVOTS = 256
 TABLES = 3
 CELL = 600
-ROUNDS = 5
+#: Rounds go on until fewer than this part of the edges change; ROUNDS is a bound that warns when it is met.
+STILL = 0.01
+ROUNDS = 16
 FEW = 64
 BEAM = 320
 EXPAND = 96
 
 
 def usable(rows: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, x (array of double), node: the rows that take part; node is a number that equal vectors share."""
+    """vec_id, x (array of double), same: the rows that take part; same is a number that equal vectors share."""
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     good = rows.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x")).filter("vec_id is not null")
     good = good.filter(F.coalesce(F.forall("x", finite) & F.exists("x", lambda c: c != 0), F.lit(False)))
     size = good.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = size["n"] if size else 0
     zero = F.transform("x", lambda c: c + F.lit(0.0))  # -0.0 is 0.0
-    return good.filter(F.size("x") == width).withColumn("x", zero).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("node", F.xxhash64("x"))
+    return good.filter(F.size("x") == width).withColumn("x", zero).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("same", F.xxhash64("x"))
 
 
 def _matrix(lists: pa.ListArray, kind=np.float64) -> np.ndarray:
@@ -79,9 +83,11 @@ def _nearest(table: pa.Table, k: int, kind: str) -> pa.Table:
     k = min(k, len(node) - 1)
     if k < 1:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+    order = np.argsort(node)
+    node, x = node[order], x[order]
     d = _distances(x, x)
     np.fill_diagonal(d, np.inf)
-    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]  # ties to the smaller node
     return pa.table({"a": np.repeat(node, k), "b": node[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel()})
 
 
@@ -187,17 +193,19 @@ def _local_join(graph: DataFrame, codes: DataFrame, kind: str, k: int, turn: int
     return lists.mapInArrow(each, "a long, b long, d double")
 
 
-def build(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, tables: int = TABLES, pivots: int = PIVOTS, cell: int = CELL) -> DataFrame:
+def build(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, tables: int = TABLES, pivots: int = PIVOTS, cell: int | None = None) -> DataFrame:
     """(a, b, d): about k near neighbours of each node of nodes (node, x)."""
     kind = _kind(nodes)
     codes = _coded(nodes, kind)
-    graph = _first_graph(codes, kind, k, tables, pivots, cell)
+    graph = _first_graph(codes, kind, k, tables, pivots, cell or CELL)
     for turn in range(rounds):
         found = _local_join(graph, codes, kind, k, turn).withColumn("new", F.lit(1))
         graph = _best(graph.select("a", "b", "d", F.lit(0).alias("new")).unionByName(found), k)
         changed, total = graph.agg(F.coalesce(F.sum("new"), F.lit(0)), F.count("*")).first()
-        if changed <= total // 200:
+        if changed <= total * STILL:
             break
+    else:
+        warnings.warn(f"the graph still changes after {rounds} rounds: {changed} of {total} edges in the last", stacklevel=2)
     return graph
 
 
@@ -261,17 +269,19 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = B
 def nearest(rows: DataFrame, k: int = 10, every: int = 100, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows found for each row whose id is divisible by `every`."""
     data = stash(usable(rows, id, vector))
-    # of the rows of one node, no query can return more than the first k + 1
-    first = Window.partitionBy("node").orderBy("vec_id")
-    members = stash(data.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1))
-    nodes = stash(members.filter("_n = 1").select("node", "x"))
+    # of equal rows, no query can return more than the first k + 1; a node is known by its smallest id, so that ties
+    # between nodes go to the smaller id wherever lists are cut
+    first = Window.partitionBy("same").orderBy("vec_id")
+    some = stash(data.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1))
+    nodes = stash(some.filter("_n = 1").select("same", F.col("vec_id").alias("node"), "x"))
+    members = some.join(nodes.select("same", "node"), "same").select("node", "vec_id")
     graph = build(nodes)
-    asking = data.filter(F.col("vec_id") % every == 0).select("vec_id", "node")
-    asked = stash(asking.select("node").distinct())
+    asking = stash(data.filter(F.col("vec_id") % every == 0).select("vec_id", "same").join(nodes.select("same", "node"), "same").select("vec_id", "node"))
+    asked = asking.select("node").distinct()
     found = search(nodes.join(asked, "node").select(F.col("node").alias("query"), "x", F.col("node").alias("entry")), graph, nodes)
-    kept = found.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("score", "node"))).filter(F.col("_n") <= k + 1)
-    # nodes at equal distance: ties are settled by vec_id, so all members of the nearest nodes compete
-    near = kept.join(members.select("node", "vec_id"), "node")
+    # every node as near as the (k + 1)-th; ties are settled by vec_id, so all members of these nodes compete
+    kept = found.withColumn("_n", F.rank().over(Window.partitionBy("query").orderBy("score"))).filter(F.col("_n") <= k + 1)
+    near = kept.join(members, "node")
     near = near.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).filter(F.col("_r") <= k + 1)
     pairs = asking.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).join(near.select("query", "vec_id", "score"), "query").filter("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
