@@ -59,7 +59,7 @@ def partitions(spark: SparkSession) -> int:
 
 def offsets(counts: DataFrame, group: list[str], order: list[str], n: str, out: str) -> DataFrame:
     """counts with, in out, the sum of n over the earlier rows of the group. Takes a table of counts, not of records."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    w = (Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0).cast("long")))
 
 

@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target over its size is the expected number of copies of each of its documents. The whole part is
-taken for certain; for the rest, documents are ranked by random odds over inclusion odds, and those of lowest
-rank are taken until the source's words are reached. Random numbers come from a hash of the document, so reruns
-agree.
+A source's target over its size says how often each of its documents is taken. The whole part is taken for certain; for the
+rest, each document has an inclusion probability of its own: the source's missing part times the square root of the document's
+size over the source's mean of it, so that longer documents are likelier (`lean` is the power; 0 makes all alike). Documents are
+ranked by random odds over inclusion odds, those of probability 1 first, and the lowest ranks are taken until the source's words are
+reached: a sample of fixed size in words. Random numbers come from a hash of the document, so reruns agree.
 
 Defined cases: null text has no words; a null source is a source, last in order; sources without words have
 target 0 and take nothing; an empty table gives no rows; equal rows share a random number and are interchangeable;
 extra columns of the input are ignored. Work by source is done on sums by rank interval, so that a source
-with a third of all rows is not ordered in one task.
+with a third of all rows is not ordered in one task, and sources are numbered by range, so that they may be very many.
 """
 
 from __future__ import annotations
@@ -16,58 +17,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import sized_side, stash, unit, word_count, wrapped
+from quire.llm.common import offsets, partitions, sized_side, stash, unit, word_count, wrapped
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 BINS = 4096
+LEAN = 0.5
+
+
+def numbered(sums: DataFrame) -> DataFrame:
+    """sums, stored, with place: the number, from 0, of each source by code point, null last. Dealt by ranges of the source."""
+    key = F.struct(F.col("source").isNull().alias("null"), "source")
+    ranged = stash(sums.repartitionByRange(partitions(sums.sparkSession), key).withColumn("_range", F.spark_partition_id()))
+    first = offsets(ranged.groupBy("_range").agg(F.count("*").alias("n")), [], ["_range"], "n", "_before").drop("n")  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return stash(ranged.withColumn("_own", own).join(F.broadcast(first), "_range").withColumn("place", F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before"))
 
 
 def targets(sums: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """sums (source, source_size) with target: a row for each source.
 
-    Weighted shares, none above `most` times its source: sources are capped in the order of cap over
-    weight while the common level still reaches them. What is above goes to the others by weight.
+    Every source gets its weight times a common level, or `most` times its size where that is less. The level is found on sums:
+    while sources are over their bound at the level, what they leave raises it for the others.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    by_level = Window.orderBy("_level", F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    from_here = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return (
-        sums.withColumn("weight", F.get(F.lit(list(weights)), (F.row_number().over(order) - 1) % len(weights)).cast("double"))
-        .withColumn("_cap", most * F.col("source_size"))
-        .withColumn("_level", F.col("_cap") / F.col("weight"))
-        .withColumn("_goal", share * F.sum("source_size").over(every))
-        .withColumn("_left", F.col("_goal") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        .withColumn("_full", F.col("_left") / F.sum("weight").over(from_here) >= F.col("_level"))
-        .withColumn("_open", F.sum(F.when(~F.col("_full"), F.col("weight"))).over(every))
-        .withColumn("_rest", F.col("_goal") - F.coalesce(F.sum(F.when(F.col("_full"), F.col("_cap"))).over(every), F.lit(0.0)))
-        .withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("weight") * F.col("_rest") / F.col("_open")))
-        .select("source", "source_size", "weight", "target")
-    )
+    rows = numbered(sums).withColumn("weight", F.get(F.lit(list(weights)), (F.col("place") % len(weights)).cast("int")).cast("double")).withColumn("_cap", most * F.col("source_size"))
+    goal, level = share * (rows.agg(F.sum("source_size")).first()[0] or 0), 0.0
+    while True:  # the level only rises, and each step fills one source more at least
+        full = F.col("_cap") <= F.col("weight") * F.lit(level)
+        caps, free = rows.agg(F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if not free or (goal - caps) / free <= level:
+            break
+        level = (goal - caps) / free
+    return rows.withColumn("target", F.least("_cap", F.col("weight") * F.lit(level))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7, bins: int = BINS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7, bins: int = BINS, lean: float = LEAN) -> DataFrame:
     """doc_id, source, text_hash, size, source_size, target, copies, taken: a row for each document."""
     rows = stash(
         docs.select(docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64(docs["text"]).alias("text_hash"), word_count(docs["text"]).alias("size"))
     )
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    lean_size = F.pow(F.col("size").cast("double"), F.lit(float(lean)))
+    # the missing part is spread by size: the sum of probability times size over a source is what it still needs
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(lean_size * F.col("size")).alias("_leaning"))
+    goal = targets(sums.select("source", "source_size"), weights, share, most)
+    goal = goal.join(sums.select(F.col("source").alias("_s"), "_leaning"), goal["source"].eqNullSafe(F.col("_s"))).drop("_s")
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = stash(
         goal.withColumn("_whole", F.floor(per + 1e-12).cast("long"))
-        .withColumn("_odds", F.greatest(per - F.col("_whole"), F.lit(1e-12)))
         .withColumn("_need", F.greatest(F.col("target") - F.col("_whole") * F.col("source_size"), F.lit(0.0)))
+        .withColumn("_scale", F.when(F.col("_leaning") > 0, F.col("_need") / F.col("_leaning")).otherwise(0.0))
+        .drop("_leaning")
         .withColumnRenamed("source", "_of")
     )
     u = unit(F.lit(seed), F.col("doc_id"), F.col("text_hash"))
     ranked = (
-        rows.join(goal, rows["source"].eqNullSafe(goal["_of"]))
+        rows.join(sized_side(goal), rows["source"].eqNullSafe(goal["_of"]))
+        .withColumn("odds", F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("_scale") * lean_size)))
         .withColumn("_u", u)
-        .withColumn("rank_odds", F.col("_u") / (1 - F.col("_u")) / (F.col("_odds") / (1 - F.col("_odds"))))
-        .withColumn("_bin", F.floor(F.col("_u") * bins).cast("int"))  # odds rise with u, so bins keep the order of ranks
+        .withColumn("rank_odds", F.col("_u") / (1 - F.col("_u")) / (F.col("odds") / (1 - F.col("odds"))))
+        .withColumn("_bin", F.floor(F.lit(bins) * F.col("rank_odds") / (1 + F.col("rank_odds"))).cast("int"))  # intervals of rank
     )
     reached = Window.partitionBy("_of").orderBy("_bin")
     cut = (
