@@ -2,8 +2,11 @@
 
 A page is a run of blocks. Words score positive and tags negative, with weights by kind (tag name, word in a link or
 not) taken from labelled pages; one linear scan finds the contiguous blocks of greatest sum. Where a page marks its
-article by an element, blocks in it count as positive and others as negative. What lies inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments is never text, wherever it stands.
+article by elements, blocks in them count as positive and others as negative. What lies inside menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments is never text, wherever it stands. Such zones are elements of
+that kind, or of a class, id or role that says so as a whole word (beside words such as box or list only). Elements are parsed with the
+end tags that HTML implies, and one that is never closed by its own ends with its first block. Forms and marked wrappers that hold the
+article, or nearly all of a page, are no zones.
 
 Labelled pages are those that mark their article by an element: at most `sample` of them, of smallest hash, give the
 weights. Defined cases: null and empty html give empty text; pages cut off in the middle keep what came before;
@@ -34,7 +37,21 @@ CLASSES = frozenset(
     "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs consent cookie cookies dialog footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay popup promo promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+#: Parts of a compound name that do not change what the word beside them says.
+NEUTRAL = frozenset("area article articles aside bar block body bottom box button buttons card cards center container content entry form global group inline inner item items left link links list main mobile outer page panel post posts primary reader right row secondary section site slot stories story top unit user users wrap wrapper zone 1 2 3".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+ARTICLE = frozenset("article main".split())
+#: Elements that may lack an end tag, with the elements whose start ends them and the ones that hold them.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr"}, {"table"}),
+    "option": ({"option"}, {"select", "datalist"}),
+}
+BARRIERS = frozenset("td th table caption".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|textarea|title|xmp)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|$)|[^<]+|<",
@@ -45,33 +62,141 @@ _PART = re.compile(r"[^a-z0-9]+")
 
 
 def _marks(attributes: str) -> set[str]:
+    """Words of class and id that stand alone or beside neutral words only, and role:<role>."""
     found: set[str] = set()
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
-        found |= {f"role:{value.strip()}"} if name.lower() == "role" else {*_PART.split(value)}
+        if name.lower() == "role":
+            found.add(f"role:{value.strip()}")
+            continue
+        for token in value.split():
+            parts = {x for x in _PART.split(token) if x}
+            if parts <= CLASSES | COMMENTS | NEUTRAL:
+                found |= parts - NEUTRAL
     return found
 
 
-def _starts_zone(name: str, attributes: str, main: int) -> str:
-    """'' or the kind of what begins here: comments, or anything else that is not the article."""
+class Element:
+    """An element of a page. kind: '' or why it may be no text (comments, element, form, class). Places count the page's events:
+    first and until are its own, body where its opening text or first block ends, article where an article begins in it;
+    what stands in it before gone is no text."""
+
+    __slots__ = ("name", "up", "kind", "words", "first", "body", "until", "ended", "article", "heading", "gone", "inside")
+
+    def __init__(self, name: str, up: Element | None, kind: str, at: int):
+        self.name, self.up, self.kind, self.first = name, up, kind, at
+        self.words = self.body = self.until = self.ended = self.article = self.heading = self.gone = 0
+        self.inside = name in ARTICLE or up is not None and up.inside
+
+
+def _kind(name: str, attributes: str, up: Element) -> str:
     marks = _marks(attributes) if "=" in attributes else set()
-    if marks & COMMENTS:
+    if marks & COMMENTS and name not in ("html", "body", "main"):
+        # an article or heading is no comment for a word on whether it takes any
         return "comments"
-    if name in ("html", "body", "main", "article", "h1"):
+    if name in ("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"):
         return ""
     if name in OUTSIDE:
-        return "" if name == "header" and main else "other"
-    if main:
+        return "" if name == "header" and up.inside else "form" if name == "form" else "element"
+    if up.inside:
         marks = marks - {"header"}  # of the article itself
-    return "other" if marks & CLASSES or any(m.startswith("role:") and m[5:] in ROLES for m in marks) else ""
+    return "class" if marks & CLASSES or any(m.startswith("role:") and m[5:] in ROLES for m in marks) else ""
+
+
+def parsed(html: str) -> tuple[list[tuple[str, str, Element]], list[Element]]:
+    """(what, value, element) in page order, and the elements: what is text, open, close or void; value a text or a name."""
+    root = Element("", None, "", 0)
+    events: list[tuple[str, str, Element]] = []
+    every, stack = [root], [root]
+    held: dict[str, int] = {}
+
+    def pop(own: bool) -> None:
+        x = stack.pop()
+        held[x.name] -= 1
+        x.until, x.ended = len(events), own
+        events.append(("close", x.name, x))
+        if x.name in BLOCKS and not stack[-1].body:
+            stack[-1].body = len(events)
+        stack[-1].words += x.words
+
+    def close(name: str, stop: frozenset | set, own: bool) -> None:
+        """Ends the innermost open element of the name, if none of stop stands between."""
+        if not held.get(name):
+            return
+        i = len(stack) - 1
+        while stack[i].name != name:
+            if stack[i].name in stop:
+                return
+            i -= 1
+        while len(stack) > i + 1:
+            pop(False)
+        pop(own)
+
+    for m in _TOKEN.finditer(html):
+        whole, name = m.group(0), (m.group(3) or "").lower()
+        if not name:
+            if m.group(1) is None and not (whole[0] == "<" and len(whole) > 1):
+                events.append(("text", whole, stack[-1]))
+                stack[-1].words += len(whole.split())
+            continue
+        if m.group(2) == "/":
+            close(name, BLOCKS if name not in BLOCKS else BARRIERS - {name}, True)
+            continue
+        if name in BLOCKS:
+            close("p", BLOCKS - {"p"}, False)
+            if name == "body":
+                close("head", frozenset(), False)
+            for ends in IMPLIED.get(name, ((), ()))[0]:
+                close(ends, IMPLIED[name][1], True)
+            if not stack[-1].body and stack[-1].words:
+                stack[-1].body = len(events)  # its opening text ends here
+        if name in VOID or m.group(4).endswith("/"):
+            events.append(("void", name, stack[-1]))
+            continue
+        x = Element(name, stack[-1], _kind(name, m.group(4), stack[-1]), len(events))
+        events.append(("open", name, x))
+        every.append(x)
+        stack.append(x)
+        held[name] = held.get(name, 0) + 1
+    while len(stack) > 1:
+        pop(False)
+    root.until = len(events)
+    return events, every
+
+
+def _decide(every: list[Element]) -> None:
+    """Sets gone. A form or a marked wrapper that holds nearly all words of the page is transparent; an element without an end
+    tag of its own ends with its opening text or first block, and one in which the page's only articles stand where they begin."""
+    total = every[0].words
+    articles = [x for x in every if x.name in ARTICLE and x.kind != "comments" and x.words]
+    for x in articles:
+        above = x.up
+        while above is not None and not above.article:
+            above.article, above = x.first, above.up
+    for x in every:
+        above = x.up if x.name == "h1" else None
+        while above is not None and not above.heading:
+            above.heading, above = 1, above.up
+    for x in every:
+        if not x.kind:
+            continue
+        x.gone, share = x.until, x.words / max(1, total)
+        if x.article and (not x.ended or all(x.first < y.first < x.until for y in articles)):
+            x.gone = x.article
+        elif not x.ended and x.name not in IMPLIED and x.name != "p":
+            x.gone = min(x.until, x.body or x.until)
+        elif x.kind == "form" and share >= 0.5 or x.kind in ("form", "class") and share >= (0.7 if x.heading else 0.9):
+            x.gone = 0
 
 
 def blocks(html: str) -> list[tuple[str, dict[str, int], bool]]:
     """(text, number of tokens by kind, whether in the article element) of each block, in page order."""
+    events, every = parsed(html)
+    _decide(every)
     out: list[tuple[str, dict[str, int], bool]] = []
     text: list[str] = []
     kinds: dict[str, int] = {}
-    zone, zone_kind, depth, link, main = "", "", 0, 0, 0
+    link = main = hidden = 0  # up to the place hidden all is dropped
 
     def close() -> None:
         nonlocal kinds
@@ -84,37 +209,25 @@ def blocks(html: str) -> list[tuple[str, dict[str, int], bool]]:
             out.append((words, kinds, main > 0))
         kinds = {}
 
-    for m in _TOKEN.finditer(html):
-        whole, name = m.group(0), (m.group(3) or "").lower()
-        if not name:
-            if not zone and m.group(1) is None and not (whole[0] == "<" and len(whole) > 1):
-                text.append(whole)
-            continue
-        ends, attributes = m.group(2) == "/", m.group(4)
-        if zone:
-            opens_main = not ends and name in ("article", "main") and zone_kind == "other" and not _starts_zone(name, attributes, main)
-            if opens_main or (zone == "head" and name == "body") or (zone == "p" and not ends and name in BLOCKS):
-                zone = ""
-            else:
-                if name == zone and name not in VOID:
-                    depth += -1 if ends else 0 if attributes.endswith("/") else 1
-                    if depth == 0:
-                        zone = ""
-                continue
-        if not ends and name not in VOID and not attributes.endswith("/") and (kind := _starts_zone(name, attributes, main)):
-            if name in BLOCKS:
+    for at, (what, value, x) in enumerate(events):
+        if what == "open" and x.gone > max(at, hidden):
+            if value in BLOCKS:
                 close()
-            zone, zone_kind, depth = name, kind, 1
+            hidden = x.gone + (x.gone == x.until)
+        if at < hidden:
             continue
-        if name in BLOCKS:
+        if what == "text":
+            text.append(value)
+            continue
+        if value in BLOCKS:
             close()
-        elif name == "br":
+        elif value == "br":
             text.append(" ")
-        if name in ("article", "main"):
-            main = max(0, main - 1) if ends else main + 1
-        if name == "a":
-            link = 0 if ends else 1
-        kind = name if name in BLOCKS or name in INLINE else "other"
+        if what != "void" and value in ARTICLE and x.kind != "comments":
+            main = max(0, main + (1 if what == "open" else -1))
+        if what != "void" and value == "a":
+            link = int(what == "open")
+        kind = value if value in BLOCKS or value in INLINE else "other"
         kinds[kind] = kinds.get(kind, 0) + 1
     close()
     return out
@@ -145,6 +258,9 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     for words, kinds, inside in found:
         s = sum(n * weights.get(k, 1.0 if k.startswith("word") else -0.5) for k, n in kinds.items())
         scores.append(s if not marked else max(s, 0.01) if inside else min(s, -0.01))
+    if marked:  # what stands between two articles does not part them
+        places = [i for i, (words, _, inside) in enumerate(found) if inside and words]
+        scores = [s if inside or not places[0] < i < places[-1] else 0.0 for i, (s, (_, _, inside)) in enumerate(zip(scores, found))]
     a, b = best_run(scores)
     return "\n".join(words for words, _, inside in found[a:b] if words and (inside or not marked))
 
