@@ -35,11 +35,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("quire").getOrCreate()
     try:
         kind, name = (config.ConvertConfig, "quire-convert.yaml") if args.command == "convert" else (config.SummaryConfig, "quire-summarize.yaml")
-        cfg = config.load(kind, name, args.config)
+        cfg = config.read(kind, name, args.config)
     except ValueError as e:
         print(f"quire: {e}", file=sys.stderr)
         return 1
-    for key in cfg.unknown_keys:
+    for key in cfg.unknown:
         print(f"quire: unknown setting {key!r}", file=sys.stderr)
     files = registry.files(spark, args.folder, recursive=args.command == "summarize")
     if args.command == "convert":
@@ -61,9 +61,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"quire: {line}", file=sys.stderr)
         return code
     if args.model:
-        from dataclasses import replace
-
-        cfg = replace(cfg, model=args.model)
+        cfg = cfg.but(model=args.model)
     inputs = registry.markdown_inputs(files.withColumn("path", F.regexp_replace("path", "^file:/*(?=/)", "")), str(Path(args.folder).resolve()))
     docs = inputs.select("path", F.col("content").cast("string").alias("md"))
     out = convert.summarize(docs, cfg).withColumn("target", F.concat(F.lit(f"{args.outdir}/"), F.regexp_replace(F.regexp_extract("doc_id", "([^/]*)$", 1), r"\.[^.]*$", ""), F.lit(registry.SUMMARY_SUFFIX)))

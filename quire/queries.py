@@ -518,10 +518,10 @@ def notes_dedup(spark, sf_dir):
 
 @query("SELECT 'effrt,modle' AS unknown")
 def config_diff(spark, sf_dir):
-    from quire.plans.config import SummaryConfig, names
+    from quire.plans.config import SummaryConfig
 
     given = F.split(F.lit("model,modle,effrt,min_words"), ",")
-    return spark.range(1).select(F.array_join(batch.unknown_keys(given, F.lit(sorted(names(SummaryConfig)))), ",").alias("unknown"))
+    return spark.range(1).select(F.array_join(batch.unknown_keys(given, F.lit(sorted(SummaryConfig.RULES))), ",").alias("unknown"))
 
 
 HREFS = "('text/ch1.xhtml#p3'), ('/OEBPS/./a/../b.html'), ('a%20b.html'), ('x+y.html'), ('#top'), ('../up.html')"

@@ -1,6 +1,6 @@
 import pytest
 
-from quire.plans.client import TRUNCATED, Client, Failed, Refused, Reply, refused_parameter
+from quire.plans.client import TRUNCATED, Client, Failed, Refused, Reply
 from quire.plans.config import SummaryConfig
 
 
@@ -15,7 +15,7 @@ def test_refused_parameters_are_dropped_and_remembered():
         return Reply(" answer ", input_tokens=3, output_tokens=2)
 
     c = Client(SummaryConfig(model="gpt-5-x"), send)
-    assert c.complete("s", "u") == ("answer", 3, 2) and c.dropped == {"max_completion_tokens", "reasoning_effort"}
+    assert c.complete("s", "u") == ("answer", 3, 2) and c.offered() == {"max_tokens": "limit"}
     assert c.complete("s", "u")[0] == "answer" and len(seen) == 4 and "max_tokens" in seen[-1]
 
 
@@ -41,5 +41,7 @@ def test_answers_are_checked():
 
     with pytest.raises(Failed):
         Client(SummaryConfig(), always).complete("s", "u")
-    assert refused_parameter("temperature is not supported", {"temperature": 1}) == "temperature"
-    assert refused_parameter("temperature is bad", {"temperature": 1}) is None
+    c = Client(SummaryConfig(model="o3"), None)
+    sent = c.parameters("s", "u")
+    assert c.refused("reasoning_effort is not supported", sent) == "effort" and c.refused("Unsupported: MAX_COMPLETION_TOKENS", sent) == "limit"
+    assert c.refused("reasoning_effort is bad", sent) is None and c.refused("temperature is not supported", sent) is None

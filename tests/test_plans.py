@@ -53,18 +53,24 @@ def test_streaming_converts_what_arrives(spark, folder, tmp_path):
 def test_config(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     monkeypatch.setenv("HOME", str(tmp_path / "home"))
-    assert config.load(config.SummaryConfig, "s.yaml") == config.SummaryConfig()
+    assert config.read(config.SummaryConfig, "s.yaml") == config.SummaryConfig()
     with pytest.raises(ValueError):
-        config.load(config.SummaryConfig, "s.yaml", tmp_path / "none.yaml")
-    for bad in ({"effort": "mad"}, {"min_ratio": 0.5}, {"max_tokens": 0}):
-        with pytest.raises(ValueError):
-            config.SummaryConfig(**bad).validate()
+        config.read(config.SummaryConfig, "s.yaml", tmp_path / "none.yaml")
+    for bad in ({"effort": "mad"}, {"min_ratio": 0.5}, {"max_tokens": 0}, {"max_tokens": "9"}, {"target_ratio": 2}, {"carry_context": 1}, {"model": ""}):
+        with pytest.raises(ValueError, match=next(iter(bad))):
+            config.SummaryConfig(**bad)
+    with pytest.raises(ValueError):
+        config.ConvertConfig(min_image_pixels=-1)
+    assert config.SummaryConfig(min_words=9).but(model="x").values | {} == {**config.SummaryConfig().values, "min_words": 9, "model": "x"}
     yaml = pytest.importorskip("yaml")
-    path = config.write_default(config.SummaryConfig, "s.yaml")
-    assert yaml.safe_load(path.read_text())["min_words"] == 150 and config.write_default(config.SummaryConfig, "s.yaml") is None
+    for kind in (config.SummaryConfig, config.ConvertConfig):
+        path = config.provide(kind, "s.yaml")
+        assert yaml.safe_load(path.read_text()) == kind().values and config.provide(kind, "s.yaml") is None
+        path.unlink()
     path.write_text("min_words: 9\nmodle: x\n")
-    got = config.load(config.SummaryConfig, "s.yaml")
-    assert got.min_words == 9 and got.unknown_keys == ("modle",)
-    path.write_text("- a\n")
-    with pytest.raises(ValueError):
-        config.load(config.SummaryConfig, "s.yaml")
+    got = config.read(config.SummaryConfig, "s.yaml")
+    assert got.min_words == 9 and got.unknown == ("modle",) and got.origin == path
+    for text in ("- a\n", "a: [", "min_words: few\n"):
+        path.write_text(text)
+        with pytest.raises(ValueError):
+            config.read(config.SummaryConfig, "s.yaml")
