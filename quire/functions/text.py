@@ -18,19 +18,21 @@ IMAGE_LINK = r"!\[([^\]]*)\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"
 REASONING_MODEL = r"(?i)^(o\d|gpt-5|gpt-6)"
 EFFORTS = {"low": "low", "medium": "medium", "high": "high", "xhigh": "high", "max": "high"}
 NO_LOCATOR = "x00"
+#: White space as Unicode has it, inside a character class.
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def squeezed(c: Column) -> Column:
     """White space runs to one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def word_count(c: Column) -> Column:
-    return F.coalesce(F.regexp_count(c, F.lit(r"\S+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(c, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
 def slug_of_ascii(c: Column, fallback: str | Column = "document") -> Column:
@@ -126,13 +128,13 @@ def human_size(n: Column, top: str = "GB") -> Column:
 
 def truncated(c: Column, most: int | Column) -> Column:
     """The text where it has at most `most` words, else that many of them and an ellipsis."""
-    words = F.regexp_extract_all(c, F.lit(r"(\S+)"), 1)
+    words = F.regexp_extract_all(c, F.lit(f"([^{SPACE}]+)"), 1)
     most = most if isinstance(most, Column) else F.lit(most)
     return F.when(F.size(words) <= most, c).otherwise(F.concat(F.array_join(F.slice(words, F.lit(1), most), " "), F.lit(" …")))
 
 
 def leading_words(c: Column, most: Column) -> Column:
-    return F.array_join(F.slice(F.regexp_extract_all(c, F.lit(r"(\S+)"), 1), F.lit(1), most), " ")
+    return F.array_join(F.slice(F.regexp_extract_all(c, F.lit(f"([^{SPACE}]+)"), 1), F.lit(1), most), " ")
 
 
 def target_words(words: Column, ratio: float = 0.10, least_ratio: float = 0.05, most_ratio: float = 0.15, least: int = 150) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -14,10 +16,14 @@ CHAPTER_THRESHOLD = 20_000
 _LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it: a lambda's argument is never computed anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines_of(c: Column) -> Column:
     """Lines, without an empty one after a final line end."""
-    parts = F.split(c, _LINE_END)
-    return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, _LINE_END), lambda parts: F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def fenced_ranges(lines: Column) -> Column:
@@ -39,15 +45,21 @@ def fenced_ranges(lines: Column) -> Column:
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line (from 0), text, in_fence: a row for each line."""
-    cut = docs.select("doc_id", lines_of(F.col("md")).alias("_lines")).withColumn("_fences", fenced_ranges(F.col("_lines")))
-    rows = cut.select("doc_id", "_fences", F.posexplode("_lines").alias("line", "text"))
+    cut = docs.select("doc_id", let(lines_of(F.col("md")), lambda ls: F.struct(ls.alias("lines"), fenced_ranges(ls).alias("fences"))).alias("c"))
+    rows = cut.select("doc_id", F.col("c.fences").alias("_fences"), F.posexplode("c.lines").alias("line", "text"))
     return rows.select("doc_id", "line", "text", F.exists("_fences", lambda r: F.col("line").between(r["first"], r["last"])).alias("in_fence"))
 
 
+def heads_of(ls: Column) -> Column:
+    """(line, level, title) of the ATX headings among lines, outside fences."""
+    seen = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda h: h["text"].rlike(T.HEADING))
+    out = let(fenced_ranges(ls), lambda fences: F.filter(seen, lambda h: ~F.exists(fences, lambda r: h["line"].between(r["first"], r["last"]))))
+    return F.transform(out, lambda h: F.struct(h["line"].alias("line"), F.length(F.regexp_extract(h["text"], T.HEADING, 1)).alias("level"), T.stripped(F.regexp_extract(h["text"], T.HEADING, 2)).alias("title")))
+
+
 def headings(docs: DataFrame) -> DataFrame:
     """doc_id, line, level, title: ATX headings outside fences."""
-    rows = lines(docs).filter(~F.col("in_fence") & F.col("text").rlike(T.HEADING))
-    return rows.select("doc_id", "line", F.length(F.regexp_extract("text", T.HEADING, 1)).alias("level"), T.stripped(F.regexp_extract("text", T.HEADING, 2)).alias("title"))
+    return docs.select("doc_id", F.explode(let(lines_of(F.col("md")), heads_of)).alias("h")).select("doc_id", "h.*")
 
 
 def split_levels(found: DataFrame) -> DataFrame:
@@ -61,65 +73,84 @@ def titles(docs: DataFrame, fallback: Column) -> DataFrame:
     return docs.join(first, "doc_id", "left").select("doc_id", F.coalesce("_title", fallback).alias("title"))
 
 
-def raw_sections(docs: DataFrame, min_words: int = MIN_SECTION_WORDS) -> DataFrame:
-    """doc_id, split_level, pos, title, body: sections at the split level, text in front of the first as its own or put before it."""
-    doc, upto = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    head = ~F.col("in_fence") & F.col("text").rlike(T.HEADING)
-    rows = lines(docs).withColumn("_level", F.when(head, F.length(F.regexp_extract("text", T.HEADING, 1))))
-    # the split level by one count for each level, so that lines are dealt by document once
-    level = F.coalesce(*(F.when(F.count(F.when(F.col("_level") == n, 1)).over(doc) >= 2, n) for n in range(1, 7)))
-    rows = rows.withColumn("split_level", level).filter(F.col("split_level").isNotNull())
-    cut = F.coalesce(F.col("_level") == F.col("split_level"), F.lit(False))
-    rows = rows.withColumn("_title", F.when(cut, T.stripped(F.regexp_extract("text", T.HEADING, 2)))).withColumn("sec", F.count("_title").over(upto))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_title").isNull(), F.struct("line", "text")))), lambda x: x["text"]), "\n")
-    parts = rows.groupBy("doc_id", "split_level", "sec").agg(F.max("_title").alias("title"), T.stripped(body).alias("body"))
-    front = F.first(F.when(F.col("sec") == 0, F.col("body")), ignorenulls=True).over(Window.partitionBy("doc_id"))
-    parts = parts.withColumn("_front", front)
-    own = T.word_count(F.col("_front")) >= min_words
-    led = F.when((F.col("sec") == 1) & ~own & (F.col("_front") != ""), T.stripped(F.concat_ws("\n\n", "_front", "body"))).otherwise(F.col("body"))
-    parts = parts.filter((F.col("sec") > 0) | own)
-    return parts.select("doc_id", "split_level", F.col("sec").alias("pos"), F.when(F.col("sec") == 0, "Front matter").otherwise(F.col("title")).alias("title"), F.when(F.col("sec") == 0, F.col("body")).otherwise(led).alias("body"))
-
-
-def merged_sections(parts: DataFrame, min_words: int = MIN_SECTION_WORDS) -> DataFrame:
-    """raw sections (doc_id, split_level, pos, title, body), thin ones folded into the next (at the end: the one before).
-
-    A fold over word counts finds the sections that stand; text is joined once. Headings of folded sections come out
-    in reverse order before their texts.
+def level_of(heads: Column) -> Column:
+    """The shallowest level that two headings or more have; null where there is none."""
+    of = lambda n: F.size(F.filter(heads, lambda h: h["level"] == n))
+    return F.coalesce(*(F.when(of(n) >= 2, n) for n in range(1, 7)))
+
+
+def _between(ls: Column, first: Column, end: Column) -> Column:
+    """Lines first (from 0) to the one before end, as one text."""
+    return T.stripped(F.array_join(F.slice(ls, first + 1, F.greatest(end - first, F.lit(0))), "\n"))
+
+
+def _cut(ls: Column, heads: Column, level: Column, min_words: int) -> Column:
+    """(pos, title, body) of the sections at a level; text in front of the first is its own section or put before it."""
+
+    def bodied(cuts: Column) -> Column:
+        own = F.transform(cuts, lambda h, i: F.struct((i + 1).alias("pos"), h["title"].alias("title"), _between(ls, h["line"] + 1, F.coalesce(F.get(cuts, i + 1)["line"], F.size(ls))).alias("body")))
+
+        def fronted(front: Column) -> Column:
+            led = F.transform(own, lambda x, i: F.struct(x["pos"].alias("pos"), x["title"].alias("title"), F.when((i == 0) & (front != ""), T.stripped(F.concat_ws("\n\n", front, x["body"]))).otherwise(x["body"]).alias("body")))
+            first = F.array(F.struct(F.lit(0).alias("pos"), F.lit("Front matter").alias("title"), front.alias("body")))
+            return F.when(T.word_count(front) >= min_words, F.concat(first, own)).otherwise(led)
+
+        return let(_between(ls, F.lit(0), F.get(cuts, F.lit(0))["line"]), fronted)
+
+    return let(F.filter(heads, lambda h: h["level"] == level), bodied)
+
+
+def _folded(parts: Column, level: Column, min_words: int) -> Column:
+    """(pos, title, level, body): sections (pos, title, body) with thin ones folded into the next (at the end: the one before).
+
+    A fold over word counts finds the sections that stand. Headings of folded sections come in reverse order before their texts.
     """
-    sized = parts.withColumn("_words", T.word_count(F.col("body"))).withColumn("_head", T.word_count(F.col("title")) + 1)
-    listed = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "_words", "_head"))).alias("s"))
-    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("ends"))
+    counts = F.transform(parts, lambda x: F.struct(x["pos"].alias("pos"), T.word_count(x["body"]).alias("words"), (T.word_count(x["title"]) + 1).alias("head")))
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<int>").alias("ends"))
 
     def step(acc: Column, x: Column) -> Column:
-        n = acc["carry"] + x["_words"]
-        thin = F.struct((n + x["_head"]).alias("carry"), acc["ends"].alias("ends"))
-        return F.when(n < min_words, thin).otherwise(F.struct(F.lit(0).cast("long").alias("carry"), F.array_append(acc["ends"], x["pos"].cast("long")).alias("ends")))
-
-    ends = listed.select("doc_id", F.aggregate("s", start, step)["ends"].alias("ends"))
-    placed = parts.join(ends, "doc_id").withColumn("_to", F.get(F.filter("ends", lambda e: e >= F.col("pos")), F.lit(0)))
-    tail = F.col("_to").isNull()
-    stands = F.col("_to") == F.col("pos")
-    lone = F.size("ends") == 0
-    placed = placed.withColumn("_key", F.coalesce("_to", F.get("ends", F.size("ends") - 1), F.lit(-1).cast("long")))
-    head = F.concat(F.repeat(F.lit("#"), F.greatest(F.col("split_level"), F.lit(1))), F.lit(" "), F.col("title"))
-    pieces = F.when(stands, F.array(F.struct(F.lit(3).alias("o"), F.col("pos").cast("long").alias("k"), F.col("body").alias("t")))).otherwise(
-        F.array(
-            F.struct(F.when(tail, 4).otherwise(1).alias("o"), (-F.col("pos")).cast("long").alias("k"), head.alias("t")),
-            F.struct(F.when(tail, 5).otherwise(2).alias("o"), F.col("pos").cast("long").alias("k"), F.col("body").alias("t")),
-        )
-    )
-    each = placed.select("doc_id", "split_level", "_key", F.when(stands, F.col("title")).alias("title"), lone.alias("lone"), F.explode(pieces).alias("p"))
-    body = F.array_join(F.transform(F.filter(F.array_sort(F.collect_list("p")), lambda p: p["t"] != ""), lambda p: p["t"]), "\n\n")
-    out = each.groupBy("doc_id", "split_level", "_key", "lone").agg(F.max("title").alias("title"), T.stripped(body).alias("body"))
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("_key"))
-    return out.select("doc_id", pos.alias("pos"), F.when(F.col("lone"), "").otherwise(F.col("title")).alias("title"), F.when(F.col("lone"), 1).otherwise(F.col("split_level")).alias("level"), "body")
+        n = acc["carry"] + x["words"]
+        thin = F.struct((n + x["head"]).alias("carry"), acc["ends"].alias("ends"))
+        return F.when(n < min_words, thin).otherwise(F.struct(F.lit(0).cast("long").alias("carry"), F.array_append(acc["ends"], x["pos"]).alias("ends")))
 
+    def texts(some: Column) -> Column:
+        head = lambda x: F.concat(F.repeat(F.lit("#"), F.greatest(level, F.lit(1))), F.lit(" "), x["title"])
+        return F.concat(F.transform(F.reverse(some), head), F.transform(some, lambda x: x["body"]))
 
-def chunks(docs: DataFrame, target: int = CHUNK_WORDS) -> DataFrame:
-    """doc_id, pos, title, level, body: paragraphs packed greedily to `target` words; a small last part joins the one before."""
-    cut = docs.select("doc_id", F.filter(F.split("md", r"\n\s*\n"), lambda p: p.rlike(r"\S")).alias("ps"))
-    sized = cut.withColumn("ws", F.transform("ps", T.word_count))
+    def group(ends: Column, end: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(ends, i - 1), F.lit(-1))
+        thin = F.filter(parts, lambda x: (x["pos"] > before) & (x["pos"] < end))
+        tail = F.filter(parts, lambda x: (i == F.size(ends) - 1) & (x["pos"] > end))
+        own = F.filter(parts, lambda x: x["pos"] == end)
+        pieces = F.concat(texts(thin), F.transform(own, lambda x: x["body"]), texts(tail))
+        return F.struct((i + 1).alias("pos"), F.get(own, F.lit(0))["title"].alias("title"), level.alias("level"), T.stripped(F.array_join(F.filter(pieces, lambda t: t != ""), "\n\n")).alias("body"))
+
+    lone = F.array(F.struct(F.lit(1).alias("pos"), F.lit("").alias("title"), F.lit(1).alias("level"), T.stripped(F.array_join(F.filter(texts(parts), lambda t: t != ""), "\n\n")).alias("body")))
+    return let(F.aggregate(counts, start, step)["ends"], lambda ends: F.when(F.size(ends) == 0, lone).otherwise(F.transform(ends, lambda e, i: group(ends, e, i))))
+
+
+def _sections(md: Column, min_words: int, fold: bool) -> Column:
+    """Sections of a text, raw or folded; null where no level has two headings."""
+
+    def of(ls: Column, heads: Column, level: Column) -> Column:
+        raw = _cut(ls, heads, level, min_words)
+        return F.when(level.isNotNull(), let(raw, lambda parts: _folded(parts, level, min_words)) if fold else raw)
+
+    return let(lines_of(md), lambda ls: let(heads_of(ls), lambda heads: let(level_of(heads), lambda level: of(ls, heads, level))))
+
+
+def raw_sections(docs: DataFrame, min_words: int = MIN_SECTION_WORDS) -> DataFrame:
+    """doc_id, pos, title, body: sections at the split level, text in front of the first as its own or put before it."""
+    return docs.select("doc_id", F.explode(_sections(F.col("md"), min_words, False)).alias("s")).select("doc_id", "s.*")
+
+
+def merged_sections(docs: DataFrame, min_words: int = MIN_SECTION_WORDS) -> DataFrame:
+    """doc_id, pos, title, level, body: sections with thin ones folded into their neighbours."""
+    return docs.select("doc_id", F.explode(_sections(F.col("md"), min_words, True)).alias("s")).select("doc_id", "s.*")
+
+
+def _packed(md: Column, target: int) -> Column:
+    """(pos, title, level, body): paragraphs packed greedily to `target` words; a small last part joins the one before."""
     start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("words"), F.array().cast("array<int>").alias("breaks"))
 
     def step(acc: Column, w: Column) -> Column:
@@ -130,25 +161,43 @@ def chunks(docs: DataFrame, target: int = CHUNK_WORDS) -> DataFrame:
         small = (F.size(acc["breaks"]) > 0) & (acc["words"] < F.lit(target * CHUNK_TAIL))
         return F.when(small, F.slice(acc["breaks"], F.lit(1), F.size(acc["breaks"]) - 1)).otherwise(acc["breaks"])
 
-    broken = sized.withColumn("breaks", F.aggregate("ws", start, step, end)).filter(F.size("ps") > 0)
-    froms = F.concat(F.array(F.lit(0)), F.col("breaks"))
-    tos = F.concat(F.col("breaks"), F.array(F.size("ps")))
-    parts = broken.select("doc_id", "ps", F.posexplode(F.arrays_zip(froms.alias("a"), tos.alias("b"))).alias("n", "r"))
-    return parts.select("doc_id", (F.col("n") + 1).alias("pos"), F.format_string("Part %d", F.col("n") + 1).alias("title"), F.lit(1).alias("level"), F.array_join(F.slice("ps", F.col("r.a") + 1, F.col("r.b") - F.col("r.a")), "\n\n").alias("body"))
+    def parts(ps: Column, breaks: Column) -> Column:
+        ranges = F.zip_with(F.concat(F.array(F.lit(0)), breaks), F.concat(breaks, F.array(F.size(ps))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        body = lambda r: F.array_join(F.slice(ps, r["a"] + 1, r["b"] - r["a"]), "\n\n")
+        every = F.transform(ranges, lambda r, i: F.struct((i + 1).alias("pos"), F.format_string("Part %d", i + 1).alias("title"), F.lit(1).alias("level"), body(r).alias("body")))
+        return F.when(F.size(ps) > 0, every)
+
+    paragraphs = F.filter(F.split(md, r"\n\s*\n"), lambda p: p.rlike(r"\S"))
+    return let(paragraphs, lambda ps: let(F.aggregate(F.transform(ps, T.word_count), start, step, end), lambda breaks: parts(ps, breaks)))
+
+
+def chunks(docs: DataFrame, target: int = CHUNK_WORDS) -> DataFrame:
+    """doc_id, pos, title, level, body: the text by length alone."""
+    return docs.select("doc_id", F.explode(_packed(F.col("md"), target)).alias("s")).select("doc_id", "s.*")
 
 
-def plan(docs: DataFrame, threshold: int = CHAPTER_THRESHOLD, min_words: int = MIN_SECTION_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """doc_id, mode, total_words, total, pos, title, level, body, word_count: the sections of each document (doc_id, md).
+def plan(docs: DataFrame, threshold: int = CHAPTER_THRESHOLD, min_words: int = MIN_SECTION_WORDS, chunk_words: int = CHUNK_WORDS, fallback: Column | None = None) -> DataFrame:
+    """doc_id, mode, total_words, doc_title, total, pos, title, level, body, word_count: the sections of each document (doc_id, md).
 
-    Short documents are one section; long ones split at their headings if that gives two sections or more, else by length.
+    Short documents are one section; long ones split at their headings if that gives two sections or more, else by length. A document
+    is read once, as one row, and is a row a section only at the end. doc_title is the first level-1 heading, else the fallback.
     """
-    clean = docs.select("doc_id", T.stripped(F.col("md")).alias("md")).withColumn("total_words", T.word_count(F.col("md")))
-    long = clean.filter(F.col("total_words") >= threshold)
-    single = clean.filter(F.col("total_words") < threshold).select("doc_id", F.lit("single").alias("mode"), "total_words", F.lit(1).alias("pos"), F.lit("").alias("title"), F.lit(1).alias("level"), F.col("md").alias("body"))
-    parts = merged_sections(raw_sections(long, min_words), min_words)
-    parts = parts.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))).filter("_n >= 2").drop("_n")
-    chapters = parts.join(long.select("doc_id", "total_words"), "doc_id").select("doc_id", F.lit("chapters").alias("mode"), "total_words", "pos", "title", "level", "body")
-    rest = long.join(parts.select("doc_id").distinct(), "doc_id", "left_anti")
-    pieces = chunks(rest, chunk_words).join(rest.select("doc_id", "total_words"), "doc_id").select("doc_id", F.lit("chunks").alias("mode"), "total_words", "pos", "title", "level", "body")
-    every = single.unionByName(chapters).unionByName(pieces)
-    return every.withColumn("total", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("word_count", T.word_count(F.col("body")))
+
+    def modes(text: Column, total: Column, sections: Column) -> Column:
+        one = F.array(F.struct(F.lit(1).alias("pos"), F.lit("").alias("title"), F.lit(1).alias("level"), text.alias("body")))
+        single, chapters = total < threshold, F.coalesce(F.size(sections), F.lit(0)) >= 2
+        mode = F.when(single, "single").when(chapters, "chapters").otherwise("chunks")
+        return F.struct(total.alias("total_words"), mode.alias("mode"), F.when(single, one).when(chapters, sections).otherwise(_packed(text, chunk_words)).alias("sections"))
+
+    def whole(text: Column) -> Column:
+        def of(total: Column) -> Column:
+            sections = F.when(total >= threshold, _sections(text, min_words, True))
+            return let(sections, lambda found: modes(text, total, found))
+
+        return let(T.word_count(text), of)
+
+    first = let(lines_of(F.col("md")), lambda ls: F.get(F.filter(heads_of(ls), lambda h: (h["level"] == 1) & (h["title"] != "")), F.lit(0))["title"])
+    title = F.coalesce(first, fallback) if fallback is not None else first
+    rows = docs.select("doc_id", title.alias("doc_title"), let(T.stripped(F.col("md")), whole).alias("p"))
+    each = rows.select("doc_id", "doc_title", "p.mode", "p.total_words", F.size("p.sections").cast("long").alias("total"), F.explode("p.sections").alias("s"))
+    return each.select("doc_id", "mode", "total_words", "doc_title", "total", "s.pos", "s.title", "s.level", "s.body", T.word_count(F.col("s.body")).alias("word_count"))

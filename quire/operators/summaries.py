@@ -49,25 +49,33 @@ def lead(sections: DataFrame, carry: bool = True) -> DataFrame:
     return rows.withColumn("system", F.when(single, prompts.SINGLE_SYSTEM).otherwise(prompts.CHAPTER_SYSTEM)).withColumn("user", F.when(~F.col("verbatim"), user))
 
 
-def overviews(rows: DataFrame, titles: DataFrame, target: int = OVERVIEW_WORDS) -> DataFrame:
+def per_document(rows: DataFrame, target: int = OVERVIEW_WORDS) -> DataFrame:
+    """A row for each document of summarized sections: all that its overview and its assembly need, in one pass over the sections.
+
+    joined are the summaries under their headings, parts the same numbered, overview the leading words of joined.
+    """
+    heading = F.coalesce(F.nullif("heading", F.lit("")), F.format_string("Section %d", F.col("pos").cast("int")))
+    line = F.concat(F.lit("## "), heading, F.lit("\n"), F.col("summary"))
+    piece = F.concat(F.lit("## "), F.col("pos").cast("string"), F.lit(". "), F.col("heading"), F.lit("\n\n"), T.stripped(F.col("summary")))
+    each = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"), piece.alias("piece"), F.col("summary").alias("summary"))))
+    per = rows.groupBy("doc_id").agg(each.alias("_s"), *(F.first(c).alias(c) for c in ("doc_title", "mode", "total_words")), F.count("*").alias("sections"), F.sum(T.word_count(F.col("summary"))).alias("words"))
+    text = lambda of: F.array_join(F.transform("_s", lambda x: x[of]), "\n\n")
+    out = per.select("doc_id", F.col("doc_title").alias("title"), "mode", "total_words", "sections", "words", text("line").alias("joined"), text("piece").alias("parts"), F.get("_s", F.lit(0))["summary"].alias("one"))
+    return out.withColumn("overview", F.when(F.col("mode") != "single", T.leading_words(F.col("joined"), F.lit(target))))
+
+
+def overviews(rows: DataFrame, target: int = OVERVIEW_WORDS) -> DataFrame:
     """doc_id, user: one overview request for each document of several sections, over all of them in order."""
-    line = F.concat(F.lit("## "), F.coalesce(F.nullif("heading", F.lit("")), F.format_string("Section %d", F.col("pos").cast("int"))), F.lit("\n"), F.col("summary"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("t")))), lambda x: x["t"]), "\n\n")
-    every = rows.filter(F.col("mode") != "single").groupBy("doc_id").agg(joined.alias("_joined"))
-    return every.join(titles, "doc_id").select("doc_id", prompts.overview_user(F.col("title"), F.col("_joined"), target).alias("user"), T.leading_words(F.col("_joined"), F.lit(target)).alias("overview"))
+    return per_document(rows.filter(F.col("mode") != "single"), target).select("doc_id", prompts.overview_user(F.col("title"), F.col("joined"), target).alias("user"), "overview")
 
 
-def assembled(rows: DataFrame, titles: DataFrame, overview: DataFrame) -> DataFrame:
+def assembled(rows: DataFrame, target: int = OVERVIEW_WORDS) -> DataFrame:
     """doc_id, title, md, summary_words, total_words, mode, sections: title, overview, numbered sections."""
-    piece = F.concat(F.lit("## "), F.col("pos").cast("string"), F.lit(". "), F.col("heading"), F.lit("\n\n"), T.stripped(F.col("summary")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("t")))), lambda x: x["t"]), "\n\n")
-    per = rows.groupBy("doc_id").agg(joined.alias("_parts"), F.first("summary").alias("_one"), F.first("mode").alias("mode"), F.first("total_words").alias("total_words"), F.count("*").alias("sections"), F.sum(T.word_count(F.col("summary"))).alias("_words"))
-    out = per.join(titles, "doc_id").join(overview.select("doc_id", "overview"), "doc_id", "left")
-    head = F.concat(F.lit("# Summary of "), F.col("title"))
-    single = F.concat_ws("\n\n", head, "_one")
-    long = F.concat_ws("\n\n", head, F.lit("## Overview"), T.stripped(F.col("overview")), "_parts")
-    md = F.when(F.col("mode") == "single", F.concat(single, F.lit("\n"))).otherwise(F.concat(F.regexp_replace(long, r"\s+$", ""), F.lit("\n")))
-    words = F.col("_words") + F.when(F.col("mode") == "single", 0).otherwise(T.word_count(F.col("overview")))
+    out = per_document(rows, target)
+    head, alone = F.concat(F.lit("# Summary of "), F.col("title")), F.col("mode") == "single"
+    long = F.concat_ws("\n\n", head, F.lit("## Overview"), T.stripped(F.col("overview")), "parts")
+    md = F.when(alone, F.concat(F.concat_ws("\n\n", head, "one"), F.lit("\n"))).otherwise(F.concat(F.regexp_replace(long, r"\s+$", ""), F.lit("\n")))
+    words = F.col("words") + F.when(alone, 0).otherwise(T.word_count(F.col("overview")))
     return out.select("doc_id", "title", md.alias("md"), words.cast("long").alias("summary_words"), "total_words", "mode", "sections")
 
 
@@ -86,6 +94,20 @@ def footer(name: Column, model: str, mode: Column, sections: Column, total: Colu
     )
 
 
+_MADE: dict[bytes, Summarizer] = {}
+
+
+def _of_worker(make: Callable[[], Summarizer]) -> Summarizer:
+    """What make gives, made once in each Python worker: what it has learned of a service holds for all documents that come to the worker."""
+    from pyspark import cloudpickle
+
+    key = cloudpickle.dumps(make)
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def answered(sections: DataFrame, make: Callable[[], Summarizer], carry: bool = True) -> DataFrame:
     """Sections (with targets) with summary, input_tokens, output_tokens and error, from a summarizer of one's own.
 
@@ -112,11 +134,11 @@ def answered(sections: DataFrame, make: Callable[[], Summarizer], carry: bool =
         return pd.DataFrame(out, columns=["doc_id", "pos", "summary", "input_tokens", "output_tokens", "error"], dtype=object)
 
     if carry:
-        done = asked.groupBy("doc_id").applyInPandas(lambda rows: run(make(), rows), schema)
+        done = asked.groupBy("doc_id").applyInPandas(lambda rows: run(_of_worker(make), rows), schema)
     else:
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = make()
+            model = _of_worker(make)
             for b in batches:
                 yield pd.concat([run(model, b.iloc[i : i + 1]) for i in range(len(b))] or [run(model, b)])
 
@@ -135,10 +157,8 @@ def summarize(docs: DataFrame, title: Column, name: Column, model: str = "gpt-5.
     """docs (doc_id, md, ...) to doc_id, title, md (with footer), summary_words, total_words, mode, sections."""
     from quire.operators import structure
 
-    planned = structure.plan(docs, **({} if threshold is None else {"threshold": threshold}))
-    rows = lead(targets(planned, carry, **ratios), carry)
-    titled = structure.titles(docs, title)
-    done = assembled(rows, titled, overviews(rows, titled))
+    planned = structure.plan(docs, **({} if threshold is None else {"threshold": threshold}), fallback=title)
+    done = assembled(lead(targets(planned, carry, **ratios), carry))
     named = docs.select("doc_id", name.alias("_name"))
     end = footer(F.col("_name"), model, F.col("mode"), F.col("sections"), F.col("total_words"), F.col("summary_words"))
     return done.join(named, "doc_id").withColumn("md", F.concat("md", end)).drop("_name")

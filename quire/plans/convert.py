@@ -49,16 +49,15 @@ def markdown(documents: DataFrame, files: DataFrame, cfg: ConvertConfig = Conver
 
 def convert(files: DataFrame, cfg: ConvertConfig = ConvertConfig()) -> DataFrame:
     """files (path, length, content) to markdown(...) of those that are documents."""
-    return markdown(readers.read_files(files.filter(registry.is_supported(F.col("path")))), files, cfg)
+    return markdown(readers.read_files(files.filter(registry.is_supported(F.col("path"))), cfg.min_image_pixels), files, cfg)
 
 
 def placed(made: DataFrame) -> DataFrame:
-    """Converted documents with dest: folder names, unique in this run, in the order of file names."""
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.orderBy(F.lower(T.file_name(F.col("path"))), "path"))
-    rows = made.filter(F.col("error").isNull()).withColumn("pos", at).withColumn("stem", T.slugify(T.stem(F.col("path"))))
-    return batch.destinations(rows.select("pos", "slug", "stem")).select("pos", "dest").join(rows, "pos").drop("pos", "stem")
+    """Converted documents with dest: folder names, unique in this run, first come first served in the order of file names."""
+    order = F.struct(F.lower(T.file_name(F.col("path"))), F.col("path"))
+    rows = made.filter(F.col("error").isNull()).withColumn("pos", order).withColumn("stem", T.slugify(T.stem(F.col("path"))))
+    names = batch.distinct_names(batch.destinations_by_rank(rows.select("path", "pos", "slug", "stem")))
+    return names.select("path", "dest").join(made.filter(F.col("error").isNull()), "path")
 
 
 def write_tree(made: DataFrame, images: DataFrame, outdir: str, force: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import anchors, batch, blocks, layout, structure, summaries
-from quire.sources import registry
+from quire.sources import readers, registry, samples
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -154,7 +154,7 @@ MERGED = rf"""{SECTIONS}, folded AS (
 
 @query(f"{MERGED} SELECT doc_id, pos, title, level, body FROM final")
 def merge_thin(spark, sf_dir):
-    out = structure.merged_sections(structure.raw_sections(_books(spark, sf_dir), MIN), MIN)
+    out = structure.merged_sections(_books(spark, sf_dir), MIN)
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "title", F.col("level").cast("long").alias("level"), "body")
 
 
@@ -211,7 +211,7 @@ assembled AS (
 
 
 def _planned(spark, sf_dir) -> DataFrame:
-    return structure.plan(_books(spark, sf_dir), THRESHOLD, MIN, CHUNK)
+    return structure.plan(_books(spark, sf_dir), THRESHOLD, MIN, CHUNK, F.lit("untitled"))
 
 
 def _lead(spark, sf_dir) -> DataFrame:
@@ -219,8 +219,7 @@ def _lead(spark, sf_dir) -> DataFrame:
 
 
 def _assembled(spark, sf_dir) -> DataFrame:
-    rows, titles = _lead(spark, sf_dir), structure.titles(_books(spark, sf_dir), F.lit("untitled"))
-    return summaries.assembled(rows, titles, summaries.overviews(rows, titles))
+    return summaries.assembled(_lead(spark, sf_dir))
 
 
 @query(f"{PLANNED} SELECT doc_id, mode, pos, total, title, level, word_count, total_words, md5(body) AS body_md5 FROM counted_plan")
@@ -245,7 +244,7 @@ def section_requests(spark, sf_dir):
 
 @query(rf"""{PLANNED} SELECT j.doc_id, 'Document title: "' || t.doc_title || '"' || chr(10) || chr(10) || 'Write an overview of approximately 300 words, based on these section summaries.' || chr(10) || chr(10) || '<section_summaries>' || chr(10) || j.j || chr(10) || '</section_summaries>' AS "user" FROM joined j JOIN titled t ON j.doc_id = t.doc_id""")
 def overview_requests(spark, sf_dir):
-    return summaries.overviews(_lead(spark, sf_dir), structure.titles(_books(spark, sf_dir), F.lit("untitled"))).select("doc_id", "user")
+    return summaries.overviews(_lead(spark, sf_dir)).select("doc_id", "user")
 
 
 @query(f"{PLANNED} SELECT doc_id, title, mode, sections, summary_words, total_words, md FROM assembled")
@@ -546,3 +545,144 @@ def dehyphenated(spark, sf_dir):
     return rows.select("id", T.joined_lines(F.col("lines")).alias("text"))
 
 
+# ---- readers, over files made from tables
+
+
+def _files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A file of a kind for each part: its name as heading, brand and type as text, size and price class as cells."""
+    rows = _table(spark, sf_dir, "part").select(
+        F.format_string(f"/in/p%d.{kind}", "p_partkey").alias("path"), F.col("p_name").alias("heading"), F.concat_ws(" ", F.lit("Body of"), "p_brand", F.lit("é {x} \\y (z) &"), "p_type").alias("body"),
+        F.array(F.col("p_size").cast("string"), F.lit("a|b")).alias("cells"),
+    )
+    return samples.files(rows, kind)
+
+
+def _read(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    docs = readers.read_files(_files(spark, sf_dir, kind))
+    return docs.select("path", "title", "error", F.explode("blocks").alias("b")).select("path", "title", F.col("b.pos").cast("long").alias("pos"), "b.kind", F.col("b.level").cast("long").alias("level"), "b.text")
+
+
+_BODY = "'Body of ' || p_brand || ' é {x} \\y (z) & ' || p_type"
+
+
+def _expected(kind: str, title: str, blocks: list[tuple[str, int, str]]) -> str:
+    rows = " UNION ALL ".join(f"SELECT p_partkey, p_name, {i}::BIGINT AS pos, '{k}' AS kind, {level}::BIGINT AS level, {text} AS text FROM part" for i, (k, level, text) in enumerate(blocks))
+    return f"SELECT '/in/p' || p_partkey || '.{kind}' AS path, {title.replace('{stem}', "'p' || p_partkey")} AS title, pos, kind, level, text FROM ({rows})"
+
+
+_CELLS = "'| ' || p_size || ' | a\\|b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_size || ' | a\\|b |'"
+
+
+@query(_expected("docx", "{stem}", [("heading", 1, "p_name"), ("text", 0, _BODY), ("table", 0, _CELLS)]))
+def read_docx_files(spark, sf_dir):
+    return _read(spark, sf_dir, "docx")
+
+
+@query(_expected("pptx", "{stem}", [("heading", 2, "p_name"), ("text", 0, _BODY)]))
+def read_pptx_files(spark, sf_dir):
+    return _read(spark, sf_dir, "pptx")
+
+
+@query(_expected("odt", "{stem}", [("heading", 1, "p_name"), ("text", 0, _BODY), ("table", 0, _CELLS)]))
+def read_odt_files(spark, sf_dir):
+    return _read(spark, sf_dir, "odt")
+
+
+@query(_expected("epub", "{stem}", [("raw", 0, "'# ' || p_name || chr(10) || chr(10) || " + _BODY.replace("\\y", "\\y"))]))
+def read_epub_files(spark, sf_dir):
+    return _read(spark, sf_dir, "epub")
+
+
+@query(_expected("rtf", "{stem}", [("text", 0, "p_name"), ("text", 0, _BODY), ("text", 0, "p_size || ' a|b'")]))
+def read_rtf_files(spark, sf_dir):
+    return _read(spark, sf_dir, "rtf")
+
+
+@query(_expected("pdf", "{stem}", [("heading", 1, "p_name"), ("text", 0, _BODY)]))
+def read_pdf_files(spark, sf_dir):
+    return _read(spark, sf_dir, "pdf")
+
+
+def _text_files(rows: DataFrame, suffix: str) -> DataFrame:
+    """rows (id, content as text) as files."""
+    made = rows.select(F.format_string(f"/in/f%d.{suffix}", "id").alias("path"), F.col("content").cast("binary").alias("content"))
+    return readers.read_files(made.withColumn("length", F.octet_length("content").cast("long")))
+
+
+@query("SELECT '/in/f' || doc_id || '.txt' AS path, 'f' || doc_id AS title, 1::BIGINT AS n, md5(regexp_replace(regexp_replace(text, '^\\n+', ''), '\\s+$', '')) AS text_md5 FROM documents WHERE regexp_matches(text, '\\S')")
+def read_text_files(spark, sf_dir):
+    docs = _text_files(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "txt")
+    return docs.filter(F.size("blocks") > 0).select("path", "title", F.size("blocks").cast("long").alias("n"), F.md5(F.col("blocks")[0]["text"].cast("binary")).alias("text_md5"))
+
+
+@query(f"WITH {BOOKS} SELECT '/in/f' || doc_id || '.md' AS path, 'Conversation ' || doc_id AS title, true AS has_h1, 'raw' AS kind, md5({_s('md')}) AS text_md5 FROM books")
+def read_markdown_files(spark, sf_dir):
+    docs = _text_files(_books(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("md").alias("content")), "md")
+    return docs.select("path", "title", "has_h1", F.col("blocks")[0]["kind"].alias("kind"), F.md5(F.col("blocks")[0]["text"].cast("binary")).alias("text_md5"))
+
+
+@query("""SELECT '/in/f' || n_regionkey || '.csv' AS path, 'table' AS kind, '| key | name | note |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ', the | a\\|b |', chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey""")
+def read_csv_files(spark, sf_dir):
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(',"'), "n_name", F.lit(', the",a|b'))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"]), "\n")
+    rows = _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.concat(F.lit("key,name,note\n"), body, F.lit("\n\n")).alias("content"))
+    return _text_files(rows, "csv").select("path", F.col("blocks")[0]["kind"].alias("kind"), F.col("blocks")[0]["text"].alias("text"))
+
+
+@query("""SELECT '/in/f' || p_partkey || '.html' AS path, 'Part ' || p_partkey AS title, 'part-' || p_partkey || '-h01-img01' AS id, p_name AS caption,
+CASE p_partkey % 4 WHEN 0 THEN 'remote image not downloaded' WHEN 1 THEN 'linked image outside document directory' WHEN 2 THEN '' ELSE '' END AS reason, CASE WHEN p_partkey % 4 >= 2 THEN '/in/sub/p ' || p_partkey || '.gif' END AS link FROM part""")
+def read_html_images(spark, sf_dir):
+    """Where the images of an HTML file lie, or why they are left out."""
+    key = F.col("p_partkey").cast("string")
+    src = F.when(F.col("p_partkey") % 4 == 0, "https://e.org/x.png").when(F.col("p_partkey") % 4 == 1, "../x.png").otherwise(F.concat(F.lit("./sub/p%20"), key, F.lit(".gif")))
+    html = F.concat(F.lit("<html><head><title>Part "), key, F.lit("</title></head><body><h1>P</h1><p>text</p><img src='"), src, F.lit("' alt='"), "p_name", F.lit("'></body></html>"))
+    docs = _text_files(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), html.alias("content")), "html")
+    return docs.select("path", "title", F.explode("images").alias("i")).select("path", "title", "i.id", "i.caption", F.coalesce("i.reason", F.lit("")).alias("reason"), "i.link")
+
+
+@query("SELECT p_partkey, trim(regexp_replace('the  ' || p_name || ' ' || p_type, '[ _-]+', ' ', 'g')) AS title FROM part")
+def titles_of_paths(spark, sf_dir):
+    path = F.concat(F.lit("/in/the--"), F.translate("p_name", " ", "_"), F.lit("-"), "p_type", F.lit(".v2.pdf"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(T.title_from_path(path), r"\.v2$", "").alias("title"))
+
+
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'high' WHEN 4 THEN 'high' ELSE 'medium' END AS effort, coalesce(greatest(1, least(6, try_cast(CASE WHEN event_id % 11 = 0 THEN 'x' ELSE event_id % 11 - 2 || '' END AS INT))), 1)::BIGINT AS level FROM events")
+def efforts_and_levels(spark, sf_dir):
+    given = F.get(F.array(*map(F.lit, ("low", "medium", "high", "xhigh", "max", "none", "odd"))), (F.col("event_id") % 7).cast("int"))
+    level = F.when(F.col("event_id") % 11 == 0, "x").otherwise((F.col("event_id") % 11 - 2).cast("string"))
+    return _table(spark, sf_dir, "events").select("event_id", T.effort(given).alias("effort"), T.odf_level(level).cast("long").alias("level"))
+
+
+@query("""SELECT p_partkey, p_name AS alt, 'images/p' || p_partkey || '.png' AS target FROM part""")
+def image_links(spark, sf_dir):
+    md = F.concat(F.lit("see !["), "p_name", F.lit("](images/p"), F.col("p_partkey").cast("string"), F.lit('.png "a title") and [no](image.png)'))
+    found = lambda n: F.regexp_extract(md, T.IMAGE_LINK, n)
+    return _table(spark, sf_dir, "part").select("p_partkey", found(1).alias("alt"), found(2).alias("target"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'a *[p' || p_partkey || ' — image too large (' || p_size || ' $)]* b' ELSE 'a ![' || p_name || '](images/p' || p_partkey || '.png) b' END AS md FROM part""")
+def raw_links_demoted(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").withColumn("id", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    md = F.concat(F.lit("a !["), "p_name", F.lit("](images/"), "id", F.lit(".png) b"))
+    said = F.concat(F.lit("*["), "id", F.lit(" — image too large ("), F.col("p_size").cast("string"), F.lit(" $)]*"))
+    return rows.select("p_partkey", F.when(F.col("p_size") > 25, blocks.demoted_text(md, F.col("id"), F.lit(".png"), said)).otherwise(md).alias("md"))
+
+
+@query("""WITH i AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_linenumber % 2 AS page, l_partkey % 5 AS xref, (l_quantity * 4)::INT AS width, 100 AS height FROM lineitem)
+
+SELECT doc_id, pos::BIGINT AS pos FROM i WHERE width * height >= 10000""")
+def pixel_floor(spark, sf_dir):
+    """Images of a page item table that are large enough; with two pages no image is furniture."""
+    rows = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).alias("page"), F.col("l_linenumber").alias("pos"), F.lit("image").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("size"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"),
+        (F.col("l_partkey") % 5).alias("xref"), F.round(F.col("l_quantity") * 4).cast("int").alias("width"), F.lit(100).alias("height"),
+    )
+    pages = rows.select("doc_id").distinct().withColumn("page_count", F.lit(2))
+    return layout.content_items(rows, pages).select("doc_id", F.col("pos").cast("long").alias("pos"))
+
+
+@query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(replace(replace(text, ' the ', ' the' || chr(160)), ' de ', chr(12288) || 'de' || chr(8195)), '[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2003}\x{3000}]+'), lambda w: w <> ''))::BIGINT AS words FROM documents""")
+def unicode_words(spark, sf_dir):
+    """Words of texts with no-break, em and ideographic spaces."""
+    text = F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" the\u00a0")), F.lit(" de "), F.lit("\u3000de\u2003"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.word_count(text).alias("words"))

@@ -6,14 +6,24 @@ The reader only reports what stands where; headings, captions, furniture and ord
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+
+from quire.functions import text as T
+from quire.operators import layout
+from quire.operators.blocks import numbered_images
 
 ITEMS = "path string, page_count int, title string, page int, pos int, kind string, text string, size double, x0 double, y0 double, xref long, width int, height int, ext string, data binary, error string"
+#: Lines of one size at most so many times it apart are of one paragraph.
+PARAGRAPH_GAP = 1.6
+SCANNED = "no extractable text found — this may be a scanned PDF (no OCR is performed)"
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
 _PIECE = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+[0-9]?")
@@ -81,6 +91,40 @@ class File:
         m = next((m for b in self.objects.values() if (m := re.search(rb"/Title\s*(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f]*>)", b)) and b"/Dest" not in b and b"/Parent" not in b), None)
         return _string(m[1]).strip() if m else ""
 
+    def outline(self) -> Iterator[tuple[int, str]]:
+        """(level, title) of the outline's entries, in order."""
+        one = lambda body, key: next(iter(self.refs(body, key)), None)
+        root = next((b for b in self.objects.values() if re.search(rb"/Type\s*/Catalog", b)), b"")
+        todo, seen = [(one(self.objects.get(one(root, b"Outlines"), b""), b"First"), 1)], set()
+        while todo:
+            n, level = todo.pop()
+            if n is None or n in seen:
+                continue
+            seen.add(n)
+            body = self.objects.get(n, b"")
+            todo += [(one(body, b"Next"), level), (one(body, b"First"), level + 1)]
+            if m := re.search(rb"/Title\s*(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)", body):
+                yield level, _string(m[1]).strip()
+
+    def image(self, n: int) -> tuple[str, bytes | None]:
+        """Suffix and bytes of an image: JPEG as it is stored, plain samples of eight bits as PNG; other kinds have no bytes."""
+        body = self.objects.get(n, b"")
+        stream = _STREAM.search(body)
+        head = body[: stream.start()] if stream else body
+        number = lambda key: int(m[1]) if (m := re.search(rb"/" + key + rb"\s+(\d+)", head)) else 0
+        if stream and b"/DCTDecode" in head:
+            return ".jpg", stream[1]
+        channels = {b"DeviceRGB": 3, b"DeviceGray": 1}.get(m[1] if (m := re.search(rb"/ColorSpace\s*/(\w+)", head)) else b"")
+        if not stream or not channels or number(b"BitsPerComponent") != 8 or number(b"Predictor") > 1:
+            return ".png", None
+        w, h, raw = number(b"Width"), number(b"Height"), self.stream(body)
+        if len(raw) < w * h * channels:
+            return ".png", None
+        rows = b"".join(b"\0" + raw[i * w * channels : (i + 1) * w * channels] for i in range(h))
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        shape = struct.pack(">IIBBBBB", w, h, 8, 2 if channels == 3 else 0, 0, 0, 0)
+        return ".png", b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", shape) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
     def images(self, page: bytes) -> dict[bytes, int]:
         for n in [None, *self.refs(page, b"Resources")]:
             body = page if n is None else self.objects.get(n, b"")
@@ -135,9 +179,8 @@ def page_items(file: File, page: bytes) -> Iterator[dict]:
             ref = images[args[-1][1:]]
             body = file.objects.get(ref, b"")
             w, h = (int(k[1]) if (k := re.search(rb"/" + key + rb"\s+(\d+)", body)) else 0 for key in (b"Width", b"Height"))
-            raw = _STREAM.search(body)
-            jpeg = b"/DCTDecode" in body
-            yield {"kind": "image", "text": None, "size": None, "x0": shift[0], "y0": top - shift[1] - drawn, "xref": ref, "width": w, "height": h, "ext": ".jpg" if jpeg else ".png", "data": raw[1] if raw and jpeg else None}
+            ext, bits = file.image(ref)
+            yield {"kind": "image", "text": None, "size": None, "x0": shift[0], "y0": top - shift[1] - drawn, "xref": ref, "width": w, "height": h, "ext": ext, "data": bits}
         if t in (b"Tj", b"TJ", b"'", b'"'):
             text = "".join(_string(a) if isinstance(a, bytes) and a[:1] in b"(<" else " " if isinstance(a, float) and a < -200 and t == b"TJ" else "" for a in args)
             if text.strip():
@@ -145,19 +188,6 @@ def page_items(file: File, page: bytes) -> Iterator[dict]:
         args = []
 
 
-def read(d, content: bytes) -> None:
-    """Text of a PDF as blocks of lines close to each other, page by page (the path for single files; see items for layout)."""
-    file = File(content)
-    d.named(file.title())
-    for page in file.pages():
-        lines = sorted((i for i in page_items(file, page)), key=lambda i: (round(i["y0"] / 3.0), i["x0"]))
-        for i in lines:
-            if i["kind"] == "text":
-                d.add("text", i["text"].strip())
-    if not d.blocks:
-        d.note("no extractable text found — this may be a scanned PDF (no OCR is performed)")
-
-
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in ITEMS.split(", ")]
     for b in batches:
@@ -166,26 +196,77 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 file = File(bytes(content))
                 pages, title = file.pages(), file.title()
+                of = {"path": path, "page_count": len(pages), "title": title, "error": None}
+                rows.append({**of, "page": -1, "pos": -1, "kind": "file"})
+                rows += [{**of, "page": -1, "pos": k, "kind": "outline", "text": t, "width": level} for k, (level, t) in enumerate(file.outline())]
                 for n, page in enumerate(pages):
-                    rows += [{"path": path, "page_count": len(pages), "title": title, "page": n, "pos": k, "error": None, **i} for k, i in enumerate(page_items(file, page))]
+                    try:
+                        rows += [{**of, "page": n, "pos": k, **i} for k, i in enumerate(page_items(file, page))]
+                    except Exception as e:  # noqa: BLE001 - nor is one bad page the end of its file
+                        rows.append({**of, "page": n, "pos": -1, "kind": "note", "text": f"page {n + 1} could not be read: {e or type(e).__name__}"})
             except Exception as e:  # noqa: BLE001 - one bad file is data
                 rows = [{"path": path, "error": str(e) or type(e).__name__}]
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def items(files: DataFrame) -> DataFrame:
-    """files (path, content) to page items, a row for each line of text and image."""
+    """files (path, content) to a row for each file, outline entry (kind outline, its level in width), line of text, image, and note of a bad page."""
     return files.select("path", "content").mapInPandas(_rows, ITEMS)
 
 
-def blocks(found: DataFrame, min_pixels: int = 10_000) -> DataFrame:
-    """Page items to doc_id, page, at, kind, text, level, caption, xref: headings by font size, captions on their images."""
-    from quire.operators import layout
-
+def blocks(found: DataFrame, min_pixels: int = layout.MIN_PIXELS) -> DataFrame:
+    """Page items to doc_id, page, at, pos, kind, text, level, caption, xref, size, y0: headings by outline or font size, captions on their images."""
     rows = found.filter(F.col("error").isNull()).withColumn("doc_id", F.col("path"))
     spans = rows.filter("kind = 'text'").select("doc_id", "page", F.col("pos").alias("block"), F.lit(0).alias("line"), F.lit(0).alias("span"), "text", "size")
-    pages = rows.select("doc_id", "page_count").distinct()
+    pages = rows.filter("kind = 'file'").select("doc_id", "page_count")
     bodies = layout.body_sizes(spans)
-    kept = layout.captioned(layout.reading_order(layout.content_items(rows.select("doc_id", "page", "pos", "kind", "text", "size", "x0", "y0", "xref", "width", "height"), pages, min_pixels)))
-    toc = spans.sparkSession.createDataFrame([], "doc_id string, key string, level int")
-    return layout.classified(kept, bodies, layout.heading_sizes(spans, bodies), toc).select("doc_id", "page", "at", "kind", "text", "level", "caption", "xref")
+    drawn = rows.filter(F.col("kind").isin("text", "image")).select("doc_id", "page", "pos", "kind", "text", "size", "x0", "y0", "xref", "width", "height")
+    kept = layout.captioned(layout.reading_order(layout.content_items(drawn, pages, min_pixels)))
+    toc = layout.toc_levels(rows.filter("kind = 'outline'").select("doc_id", "pos", F.col("text").alias("title"), F.col("width").alias("level")))
+    return layout.classified(kept, bodies, layout.heading_sizes(spans, bodies), toc).select("doc_id", "page", "at", "pos", "kind", "text", "level", "caption", "xref", "size", "y0")
+
+
+def paragraphs(made: DataFrame) -> DataFrame:
+    """Blocks with lines of text close to each other in one, joined as the lines of a paragraph are: doc_id, page, at, kind, text, level, caption, pos."""
+    w = Window.partitionBy("doc_id", "page").orderBy("at")
+    plain = (F.col("kind") == "text") & (F.col("level") == 0)
+    gap = F.col("y0") - F.lag("y0").over(w)
+    goes_on = plain & F.coalesce(F.lag(plain).over(w), F.lit(False)) & (F.lag("size").over(w) == F.col("size")) & (gap >= 0) & (gap <= F.col("size") * PARAGRAPH_GAP)
+    rows = made.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_par", F.sum("_new").over(w))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+    one = lambda c: F.first(c).alias(c)
+    return rows.groupBy("doc_id", "page", "_par").agg(F.min("at").alias("at"), one("kind"), one("level"), one("caption"), F.min("pos").alias("pos"), T.joined_lines(lines).alias("text")).drop("_par")
+
+
+def documents(files: DataFrame, schema: str, min_pixels: int = layout.MIN_PIXELS) -> DataFrame:
+    """files (path, content) to rows of readers.SCHEMA: titles, headings, paragraphs, and images with captions where they stood.
+
+    Files are parsed once; their items are kept (on disk where memory ends) for the layout's passes over them.
+    """
+    found = items(files).persist(StorageLevel.MEMORY_AND_DISK)
+    titled = found.filter("kind = 'file' or error is not null").select("path", "error", F.coalesce(F.nullif(F.trim("title"), F.lit("")), T.title_from_path(F.col("path"))).alias("title"))
+    titled = titled.withColumn("slug", T.slugify(F.col("title"), T.slugify(T.stem(F.col("path")))))
+    made = paragraphs(blocks(found, min_pixels))
+    order = Window.partitionBy("doc_id").orderBy("page", "at")
+    placed = made.withColumn("n", F.row_number().over(order) - 1)
+    drawn = placed.filter("kind = 'image'").join(titled.select(F.col("path").alias("doc_id"), "slug"), "doc_id")
+    numbered = numbered_images(drawn.select("doc_id", "slug", "page", F.col("pos").alias("item"), "caption", F.col("n").alias("pos"), T.page_locator(F.col("page") + 1).alias("locator")))
+    bits = found.filter("kind = 'image'").select(F.col("path").alias("doc_id"), "page", F.col("pos").alias("item"), "ext", "data")
+    images = numbered.join(bits, ["doc_id", "page", "item"]).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
+    reason = F.when(F.col("data").isNull(), "image could not be decoded").otherwise("")
+    image = F.struct("place", "id", "ext", "caption", reason.alias("reason"), F.lit(None).cast("string").alias("link"), "data")
+    pictures = images.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(image)), lambda i: i.dropFields("place")).alias("images"))
+    rows = placed.join(images.select("doc_id", F.col("pos").alias("n"), "place"), ["doc_id", "n"], "left")
+    kind = F.when(F.col("level") > 0, "heading").otherwise(F.col("kind"))
+    block = F.struct(F.col("n").alias("pos"), kind.alias("kind"), F.when(F.col("kind") == "text", F.col("text")).otherwise("").alias("text"), F.col("level").alias("level"), F.lit("").alias("lang"), F.col("place").alias("image"))
+    bodies = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    bad = found.filter("kind = 'note'").groupBy(F.col("path").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("bad"))
+    out = titled.withColumnRenamed("path", "doc_id")
+    for part in (bodies, pictures, bad):
+        out = out.join(part, "doc_id", "left")
+    empty = F.coalesce(~F.exists("blocks", lambda b: b["kind"] != "image"), F.lit(True)) & F.col("error").isNull()
+    notes = F.concat(F.coalesce(F.transform("bad", lambda n: n["text"]), F.array().cast("array<string>")), F.when(empty, F.array(F.lit(SCANNED))).otherwise(F.array().cast("array<string>")))
+    of = {"path": F.col("doc_id"), "has_h1": F.lit(False), "notes": notes}
+    kinds = {f.name: f.dataType for f in T_.StructType.fromDDL(schema).fields}
+    of |= {c: F.coalesce(F.col(c), F.array().cast(kinds[c].simpleString())) for c in ("blocks", "images")}
+    return out.select(*((of[c] if c in of else F.col(c)).cast(k).alias(c) for c, k in kinds.items()))

@@ -82,3 +82,38 @@ def xlsx():
 RTF = rb"{\rtf1{\fonttbl{\f0 Arial;}}First \b bold\b0  text.\par caf\u233?\'e9 {\pict 0102}end\par \u-10179?\u-8704?\par}"
 HTML = "<html><head><title>A &amp; B</title><style>p{}</style></head><body><h1>Head</h1><p>One <b>two</b> <a href='u'>three</a>.</p><ul><li>x</li><li>y</li></ul><h2>Next</h2><img src='pic.png' alt='local'><img src='http://r/x.png'><img src='no.png'><img src='../out.png'><img></body></html>"
 MD = "# Title\n\n![a](pic.png)\n\n## Two\n\n```\n# comment ![b](pic.png)\n```\n![c](https://x/y.png)\n![d](none.png \"t\")\n"
+
+
+def report(empty=False):
+    """A PDF of four pages with an outline, a logo on the good three, an icon, a JPEG with a caption, plain samples, and a last page that is broken."""
+    import zlib
+
+    line = lambda size, x, y, t: b"BT /F1 %d Tf %d %d Td (%s) Tj ET " % (size, x, y, t)
+    logo = b"q 80 0 0 30 500 750 cm /L Do Q "
+    pages = [
+        line(24, 72, 700, b"Introduction") + line(11, 72, 650, b"Body text of the first page that goes on in a sec-") + line(11, 72, 637, b"ond line.") + b"q 8 0 0 8 72 600 cm /K Do Q q 200 0 0 150 72 400 cm /J Do Q " + line(9, 72, 380, b"Figure 1: the plot") + logo,
+        line(11, 72, 700, b"Method") + line(11, 72, 650, b"Page two has text.") + b"q 200 0 0 150 72 400 cm /S Do Q " + logo,
+        line(11, 72, 700, b"Page three has text.") + logo,
+    ]
+    pages = [b"", b"", b""] if empty else pages
+    stream = lambda head, data: b"<< %s /Length %d >>\nstream\n%s\nendstream" % (head, len(data), data)
+    image = lambda w, h, more, data: stream(b"/Subtype /Image /Width %d /Height %d %s" % (w, h, more), data)
+    plain = b"/ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode"
+    parts = {
+        1: b"<< /Type /Catalog /Pages 2 0 R /Outlines 20 0 R >>",
+        2: b"<< /Type /Pages /Kids [%s] /Count 4 >>" % b" ".join(b"%d 0 R" % n for n in (3, 4, 5, 6)[: 3 if empty else 4]),
+        **{3 + i: b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents %d 0 R /Resources << /XObject << /L 11 0 R /K 12 0 R /J 13 0 R /S 14 0 R >> >> >>" % (7 + i) for i in range(4)},
+        **{7 + i: stream(b"/Filter /FlateDecode", zlib.compress(p)) for i, p in enumerate(pages)},
+        10: stream(b"/Filter /FlateDecode", b"broken"),
+        11: image(80, 30, plain, zlib.compress(bytes(80 * 30 * 3))),
+        12: image(8, 8, plain, zlib.compress(bytes(8 * 8 * 3))),
+        13: image(200, 150, b"/Filter /DCTDecode", b"jpeg"),
+        14: image(200, 150, plain, zlib.compress(bytes(range(250)) * 360)),
+        20: b"<< /First 21 0 R >>",
+        21: b"<< /Title (Introduction) /Parent 20 0 R /Next 23 0 R /First 22 0 R >>",
+        22: b"<< /Title (Method) /Parent 21 0 R >>",
+        23: b"<< /Title (Conclusion) /Parent 20 0 R >>",
+    }
+    if not empty:
+        parts[30] = b"<< /Title (Annual Review 2026) >>"
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in parts.items())
