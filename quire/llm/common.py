@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,16 +27,42 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named or 'file:///tmp/checkpoints'}/quire-{spark.sparkContext.applicationId}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever the session's file systems have it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes what this application has written to the shared folder; results that are not written yet are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, shared_dir(spark))
+
+
+#: Folders that are open for what is stashed, the innermost last (see scratch).
+_OPEN: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stashed inside, without a path of its own, is deleted at the end; so a result must be written by then."""
+    _OPEN.append(uuid.uuid4().hex)
+    path = "/".join([shared_dir(spark), *_OPEN])
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        remove(spark, path)
+
+
+def fresh(spark: SparkSession) -> str:
+    """A path below the shared folder that is not in use."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, path: str | None = None) -> DataFrame:
     """df written to the shared folder and read back: later stages start from the files, whichever executor is lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = path or "/".join([shared_dir(spark), *_OPEN, uuid.uuid4().hex])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
