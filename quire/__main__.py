@@ -50,9 +50,9 @@ def inputs(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if missing := [f for f in single if not Path(f).is_file()]:
         raise ValueError(f"no such file: {', '.join(missing)}")
     local = F.regexp_replace("path", "^file:/*(?=/)", "")
-    parts = [registry.files(spark, f).withColumn("path", local) for f in single]
+    parts = [registry.files(spark, str(Path(f).resolve())).withColumn("path", local) for f in single]
     for folder in folders:
-        found = registry.files(spark, folder, recursive=whole).withColumn("path", local)
+        found = registry.files(spark, str(Path(folder).resolve()), recursive=whole).withColumn("path", local)
         parts.append(registry.markdown_inputs(found, str(Path(folder).resolve())).drop("key") if whole else found.filter(registry.is_supported(F.col("path"))))
     every = parts[0]
     for part in parts[1:]:
@@ -76,9 +76,12 @@ def run_convert(files: DataFrame, cfg: Settings, args: argparse.Namespace) -> in
     from quire.sources import readers
 
     docs = readers.read_files(files, cfg.min_image_pixels).cache()
-    made = convert.markdown(docs, files, cfg).cache()
-    images = readers.with_linked(docs, files)
-    done = {r.path: r for r in convert.write_tree(convert.placed(made), images, args.outdir or "outputs", args.force).toLocalIterator()}
+    linked = docs.select(F.explode("images.link").alias("link")).filter("link is not null").distinct()
+    there = [r.link for r in linked.toLocalIterator() if Path(r.link).is_file()]  # what the files of one command line link to
+    beside = docs.sparkSession.read.format("binaryFile").load(there) if there else files.limit(0)
+    made = convert.markdown(docs, beside, cfg).cache()
+    images = readers.with_linked(docs, beside)
+    done = {r.path: r for r in convert.write_tree(convert.placed(made), images, str(Path(args.outdir or "outputs").resolve()), args.force).toLocalIterator()}
     code = 0
     for r in convert.report(made).join(made.select("path", "notes", F.col("error").alias("failed")), "path").orderBy("path").toLocalIterator():
         written = done.get(r.path)

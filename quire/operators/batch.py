@@ -8,27 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def destinations(docs: DataFrame) -> DataFrame:
-    """docs (pos, slug, stem: the file's own slug) with dest: slug; else slug-stem, then slug-stem-2, -3 ... where taken before.
-
-    A fold over (pos, slug, stem) in input order, since a candidate may equal another document's slug. It keeps the names of one run, as a
-    command-line batch has them; for corpora use destinations_by_rank.
-    """
-    start = F.struct(F.array().cast("array<string>").alias("taken"))
-
-    def free(taken: Column, slug: Column, stem: Column) -> Column:
-        base = F.concat_ws("-", slug, stem)
-        tries = F.concat(F.array(slug, base), F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda n: F.concat_ws("-", base, n.cast("string"))))
-        return F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(0))
-
-    step = lambda acc, d: F.struct(F.array_append(acc["taken"], free(acc["taken"], d["slug"], d["stem"])).alias("taken"))
-    run = docs.groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", "slug", "stem"))).alias("d"))
-    taken = run.select("d", F.aggregate("d", start, step)["taken"].alias("dest")).select(F.explode(F.arrays_zip("d", "dest")).alias("x")).select("x.d.pos", F.col("x.dest").alias("dest"))
-    return docs.join(taken, "pos")
-
-
 def destinations_by_rank(docs: DataFrame) -> DataFrame:
-    """docs (pos, slug, stem) with dest, by ranks of slug and of slug-stem: the same names unless one document's candidate is another's slug."""
+    """docs (pos, slug, stem) with dest: slug for its first document, else slug-stem, then slug-stem-2, -3 ...; see distinct_names for what can still be equal."""
     first = F.row_number().over(Window.partitionBy("slug").orderBy("pos"))
     rows = docs.withColumn("_n", first).withColumn("_base", F.concat_ws("-", "slug", "stem"))
     again = F.row_number().over(Window.partitionBy("_base", F.col("_n") == 1).orderBy("pos"))

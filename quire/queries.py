@@ -37,6 +37,11 @@ def _values(spark: SparkSession, values: str, names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM (VALUES {values}) AS t({names})")
 
 
+def _split(columns: str) -> list[str]:
+    """The columns of a select list; none of them has a comma inside."""
+    return columns.split(", ")
+
+
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), "text")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("t")))), lambda x: x["t"]), "\n\n")
@@ -98,12 +103,17 @@ def heading_scan(spark, sf_dir):
     return structure.headings(_books(spark, sf_dir)).select("doc_id", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "title")
 
 
-FENCES = "('a', '# A\n```\n# no\n~~~\n# no\n```\n## B'), ('b', '~~~\n# no\n```\n# no'), ('c', '# x #\n   ```py\n## no\n````\n#nospace\n### C ##'), ('d', 'none')"
+# every brand's parts as lines: fences, headings and text
+_MARKED = "CASE p_partkey % 5 WHEN 0 THEN '```' WHEN 1 THEN '## ' || p_name || ' #' WHEN 2 THEN '#no' ELSE p_name END"
 
 
-@query("SELECT * FROM (VALUES ('a', 0, 1, 'A'), ('a', 6, 2, 'B'), ('c', 0, 1, 'x'), ('c', 5, 3, 'C')) AS t(doc_id, line, level, title)")
+@query(f"""WITH l AS (SELECT p_brand, {_MARKED} AS text, p_partkey % 5 AS kind, (row_number() OVER w - 1)::BIGINT AS line, sum((p_partkey % 5 = 0)::INT) OVER w AS fences, p_name FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))
+SELECT p_brand AS doc_id, line, 2::BIGINT AS level, p_name AS title FROM l WHERE kind = 1 AND fences % 2 = 0""")
 def fenced_headings(spark, sf_dir):
-    return structure.headings(_values(spark, FENCES.replace("\n", "\\n"), "doc_id, md"))
+    rows = _table(spark, sf_dir, "part").select("p_brand", F.struct("p_partkey", F.expr(_MARKED).alias("t")).alias("x"))
+    md = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n")
+    found = structure.headings(rows.groupBy(F.col("p_brand").alias("doc_id")).agg(md.alias("md")))
+    return found.select("doc_id", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "title")
 
 
 @query(f"""{HEADS}, counted AS (SELECT doc_id, level FROM heads GROUP BY doc_id, level HAVING count(*) >= 2)
@@ -312,16 +322,18 @@ def slug_collisions(spark, sf_dir):
     return batch.destinations_by_rank(s).select(F.col("pos").alias("page_id"), "dest")
 
 
-@query("SELECT * FROM (VALUES (1, 'a'), (2, 'a-b'), (3, 'a-b-b'), (4, 'a-b-2'), (5, 'a-b-3'), (6, 'c')) AS t(pos, dest)")
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part), b AS (SELECT *, row_number() OVER (PARTITION BY p_name, p_type, n = 1 ORDER BY p_partkey) AS k FROM r)
+SELECT p_partkey AS pos, CASE WHEN n = 1 THEN replace(p_name, ' ', '-') WHEN k = 1 THEN replace(p_name, ' ', '-') || '-' || lower(p_type) ELSE replace(p_name, ' ', '-') || '-' || lower(p_type) || '-' || k END AS dest FROM b""")
 def claimed_destinations(spark, sf_dir):
-    d = _values(spark, "(1, 'a', 'x'), (2, 'a', 'b'), (3, 'a-b', 'b'), (4, 'a', 'b'), (5, 'a', 'b'), (6, 'c', 'b')", "pos, slug, stem")
-    return batch.destinations(d).select("pos", "dest")
+    d = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.translate("p_name", " ", "-").alias("slug"), F.lower("p_type").alias("stem"))
+    return batch.distinct_names(batch.destinations_by_rank(d)).select("pos", "dest")
 
 
-@query(r"""SELECT page_id, length(regexp_replace(html, '<(script|style|noscript|iframe|svg)[^>]*>.*?</(script|style|noscript|iframe|svg)>', '', 'gis'))::BIGINT AS n FROM pages""")
+@query(f"""SELECT page_id, replace({TITLE}, '&amp;', '&') AS title, false AS noise, contains(html, '<h1') AS has_h1 FROM pages""")
 def page_noise_strip(spark, sf_dir):
-    clean = F.regexp_replace("html", r"(?is)<(script|style|noscript|iframe|svg)[^>]*>.*?</(script|style|noscript|iframe|svg)>", "")
-    return _table(spark, sf_dir, "pages").select("page_id", F.char_length(clean).cast("long").alias("n"))
+    """Titles of the reader, and that no script, style or title of its own is left in its Markdown."""
+    read = readers.read_pages(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", "html"))
+    return read.select(F.col("doc_id").alias("page_id"), "title", F.col("md").rlike(r"track\(|margin:0|<script|<style").alias("noise"), "has_h1")
 
 
 @query()
@@ -461,12 +473,16 @@ def reading_order(spark, sf_dir):
     return layout.reading_order(items).select("doc_id", "page", "pos", F.col("at").cast("long").alias("at"))
 
 
-ITEMS = "(0, 1, 'text', 'Intro'), (0, 2, 'image', NULL), (0, 3, 'text', 'Figure 1: one'), (0, 4, 'image', NULL), (0, 5, 'text', 'body'), (1, 1, 'text', 'Table 2'), (1, 2, 'image', NULL), (1, 3, 'text', 'Figures are not'), (2, 1, 'image', NULL), (2, 2, 'text', 'chart 3'), (2, 3, 'image', NULL), (2, 4, 'text', 'fig. 4')"
+_ITEM = "p_partkey % 23 AS doc_id, 0 AS page, p_partkey AS pos, CASE WHEN (p_partkey + p_size) % 3 = 0 THEN 'image' ELSE 'text' END AS kind, CASE WHEN (p_partkey + p_size) % 3 > 0 THEN CASE p_size % 4 WHEN 0 THEN 'Figure ' || p_size WHEN 1 THEN 'table: x' ELSE 'Figures are not' END END AS text"
 
 
-@query("""SELECT * FROM (VALUES (0, 1, 'text', NULL), (0, 2, 'image', 'Figure 1: one'), (0, 4, 'image', ''), (0, 5, 'text', NULL), (1, 2, 'image', 'Table 2'), (1, 3, 'text', NULL), (2, 1, 'image', 'chart 3'), (2, 3, 'image', 'fig. 4')) AS t(page, "at", kind, caption)""")
+@query(f"""WITH i AS (SELECT {_ITEM} FROM part), f AS (SELECT *, coalesce(kind = 'text' AND regexp_matches(text, '^\\s*(figure|table)\\b', 'i'), false) AS fits FROM i),
+n AS (SELECT *, lead(fits, 1, false) OVER w AS nf, lag(fits, 1, false) OVER w AS pf, lead(text) OVER w AS nt, lag(text) OVER w AS pt, lag(kind, 2, '') OVER w AS two FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+t AS (SELECT *, kind = 'image' AND nf AS tn, kind = 'image' AND NOT nf AND pf AND two <> 'image' AS tp FROM n), u AS (SELECT *, lag(tn, 1, false) OVER w OR lead(tp, 1, false) OVER w AS used FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos::BIGINT AS "at", kind, CASE WHEN tn THEN nt WHEN tp THEN pt WHEN kind = 'image' THEN '' END AS caption FROM u WHERE NOT (used AND kind = 'text')""")
 def captions(spark, sf_dir):
-    return layout.captioned(_values(spark, ITEMS, "page, at, kind, text").withColumn("doc_id", F.lit(1))).select("page", "at", "kind", "caption")
+    items = _table(spark, sf_dir, "part").selectExpr(*_split(_ITEM)).withColumnRenamed("pos", "at")
+    return layout.captioned(items).select("doc_id", F.col("at").cast("long").alias("at"), "kind", "caption")
 
 
 @query(f"""WITH {BODY}, lev AS (SELECT doc_id, size, least(6, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC)) AS level FROM (SELECT DISTINCT s.doc_id, s.size FROM sized s JOIN body b ON s.doc_id = b.doc_id WHERE s.size >= b.body_size * 1.15::DOUBLE))
@@ -494,12 +510,13 @@ def ext_dispatch(spark, sf_dir):
     return registry.dispatched(_values(spark, PATHS, "path")).select("path", "suffix", "reader", "error")
 
 
-TREE = "('/r/b.md'), ('/r/A.markdown'), ('/r/x.summary.md'), ('/r/s/t/c.MD'), ('/r/s/t/u/d.md'), ('/r/.git/e.md'), ('/r/f.txt'), ('/q/g.md')"
+_PATH = "CASE s_suppkey % 5 WHEN 0 THEN '/r' WHEN 1 THEN '/r/a' WHEN 2 THEN '/r/a/b' WHEN 3 THEN '/r/a/b/c' ELSE '/r/.git' END || '/S' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.MARKDOWN' WHEN 2 THEN '.summary.md' ELSE '.txt' END"
 
 
-@query("SELECT * FROM (VALUES ('/r/b.md', '/cwd/outputs/b.summary.md'), ('/r/A.markdown', '/cwd/outputs/A.summary.md'), ('/r/s/t/c.MD', '/cwd/outputs/c.summary.md')) AS t(path, dest)")
+@query(f"SELECT {_PATH} AS path, '/cwd/outputs/S' || s_suppkey || '.summary.md' AS dest FROM supplier WHERE s_suppkey % 5 < 3 AND s_suppkey % 4 < 2")
 def markdown_inputs(spark, sf_dir):
-    return registry.markdown_inputs(_values(spark, TREE, "path"), "/r").select("path", registry.summary_path(F.col("path"), "/cwd").alias("dest"))
+    files = _table(spark, sf_dir, "supplier").selectExpr(f"{_PATH} AS path")
+    return registry.markdown_inputs(files, "/r").select("path", registry.summary_path(F.col("path"), "/cwd").alias("dest"))
 
 
 @query("SELECT coalesce(arg_min(code, pos) FILTER (WHERE code <> 0), 0) AS code FROM (VALUES (1, 0), (2, 2), (3, 1)) AS t(pos, code)")
@@ -523,12 +540,12 @@ def config_diff(spark, sf_dir):
     return spark.range(1).select(F.array_join(batch.unknown_keys(given, F.lit(sorted(SummaryConfig.RULES))), ",").alias("unknown"))
 
 
-HREFS = "('text/ch1.xhtml#p3'), ('/OEBPS/./a/../b.html'), ('a%20b.html'), ('x+y.html'), ('#top'), ('../up.html')"
+_HREF = "CASE p_partkey % 4 WHEN 0 THEN '/OEBPS/./x/../' || p_partkey || '%20b.html#p3' WHEN 1 THEN 'text//' || p_partkey || '+c.xhtml/' WHEN 2 THEN '#top' ELSE '../up' || p_partkey || '.html' END"
 
 
-@query("SELECT * FROM (VALUES ('text/ch1.xhtml#p3', 'text/ch1.xhtml'), ('/OEBPS/./a/../b.html', 'OEBPS/b.html'), ('a%20b.html', 'a b.html'), ('x+y.html', 'x+y.html'), ('#top', ''), ('../up.html', '../up.html')) AS t(href, k)")
+@query(f"SELECT p_partkey, {_HREF} AS href, CASE p_partkey % 4 WHEN 0 THEN 'OEBPS/' || p_partkey || ' b.html' WHEN 1 THEN 'text/' || p_partkey || '+c.xhtml' WHEN 2 THEN '' ELSE '../up' || p_partkey || '.html' END AS k FROM part")
 def href_keys(spark, sf_dir):
-    return _values(spark, HREFS, "href").select("href", T.href_key(F.col("href")).alias("k"))
+    return _table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_HREF} AS href").withColumn("k", T.href_key(F.col("href")))
 
 
 MODELS = "('gpt-5.4'), ('o3-mini'), ('text-embedding-3'), (' GPT-5'), ('gpt-4.1'), ('o'), ('gpt-60')"
@@ -539,10 +556,10 @@ def models(spark, sf_dir):
     return batch.listed_models(_values(spark, MODELS, "id")).select("id", T.is_reasoning_model(F.col("id")).alias("reasoning"), "chat")
 
 
-@query("SELECT * FROM (VALUES (1, 'a co-operative word'), (2, 'dash-- kept'), (3, '')) AS t(id, text)")
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name || p_brand ELSE p_name || '-- ' || p_brand END || ' ' || p_type || ' end' AS text FROM part")
 def dehyphenated(spark, sf_dir):
-    rows = _values(spark, "(1, array('a co-oper-', '  ative', 'word')), (2, array('dash--', 'kept')), (3, array(''))", "id, lines")
-    return rows.select("id", T.joined_lines(F.col("lines")).alias("text"))
+    lines = F.array(F.concat(F.lit("  "), "p_name", F.when(F.col("p_partkey") % 2 == 0, "-").otherwise("--")), F.concat(F.lit(" "), "p_brand"), F.lit(""), F.col("p_type"), F.lit("end "))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.joined_lines(lines).alias("text"))
 
 
 # ---- readers, over files made from tables

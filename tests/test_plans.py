@@ -20,18 +20,18 @@ def test_convert_and_check(spark, folder, tmp_path):
     made = convert.convert(files).cache()
     by = {r.path.rsplit("/", 1)[-1]: r for r in made.collect()}
     assert len(by) == 11 and by["bad.docx"].error and by["bad.docx"].md is None
-    assert by["p.html"].md.count("![a-amp-b-h02-img01: local](images/a-amp-b-h02-img01.png)") == 1
-    assert "*[a-amp-b-h02-img03 — linked image file not found]*" in by["p.html"].md and by["p.html"].images == 1 and by["p.html"].placeholders == 4
+    assert by["p.html"].md.count("![a-b-h02-img01: local](images/a-b-h02-img01.png)") == 1
+    assert "*[a-b-h02-img03 — linked image file not found]*" in by["p.html"].md and by["p.html"].images == 1 and by["p.html"].placeholders == 4
     assert by["m.txt"].md == "# m\n\nplain\n" and by["memo.docx"].md.startswith("# Overview\n\nSome text.\n\n![quarterly-memo-h01-img01: A caption](images/")
     images = readers.with_linked(readers.read_files(files.filter(registry.is_supported(F.col("path")))), files)
     done = convert.write_tree(convert.placed(made), images, str(tmp_path / "out")).collect()
-    assert all(r.error is None for r in done) and (tmp_path / "out/a-amp-b/images/a-amp-b-h02-img01.png").read_bytes() == docs.PNG
+    assert all(r.error is None for r in done) and (tmp_path / "out/a-b/images/a-b-h02-img01.png").read_bytes() == docs.PNG
     assert all(r.error for r in convert.write_tree(convert.placed(made), images, str(tmp_path / "out")).collect())
     assert all(r.error is None for r in convert.write_tree(convert.placed(made), images, str(tmp_path / "out"), True).collect())
     names = images.filter("data is not null").select(F.col("path").alias("doc_id"), F.concat("id", "ext").alias("filename"))
     assert anchors.problems(made.filter("error is null").select(F.col("path").alias("doc_id"), "md"), names).count() == 0
     off = {r.path.rsplit("/", 1)[-1]: r for r in convert.convert(files, config.ConvertConfig(extract_images=False)).collect()}
-    assert off["p.html"].images == 0 and "*[a-amp-b-h02-img01 — image extraction disabled: local]*" in off["p.html"].md
+    assert off["p.html"].images == 0 and "*[a-b-h02-img01 — image extraction disabled: local]*" in off["p.html"].md
     assert len(convert.report(made).collect()) == 11
 
 
@@ -74,3 +74,28 @@ def test_config(tmp_path, monkeypatch):
         path.write_text(text)
         with pytest.raises(ValueError):
             config.read(config.SummaryConfig, "s.yaml")
+
+
+def test_command_line(spark, folder, tmp_path, monkeypatch, capsys):
+    from quire.__main__ import main
+
+    home = tmp_path / "cwd"
+    home.mkdir()
+    monkeypatch.chdir(home)
+    monkeypatch.setenv("HOME", str(home))
+    two = [str(folder / n) for n in ("m.md", "m.txt")]
+    assert main(["convert", *two, "--check", "-v"]) == 0
+    said = capsys.readouterr()
+    assert (home / "quire-convert.yaml").is_file() and "default settings" in said.err
+    assert sorted(p.name for p in (home / "outputs").iterdir() if p.is_dir()) == ["m", "title"] or (home / "outputs" / "m" / "m.md").is_file()
+    assert main(["convert", *two]) == 1 and "already exists" in capsys.readouterr().err
+    assert main(["convert", str(folder), "--list"]) == 0
+    listed = [line.split()[-1].rsplit("/", 1)[-1] for line in capsys.readouterr().out.splitlines()]
+    assert listed[0] == "a.rtf" and len(listed) == 11
+    assert main(["convert", str(folder), "--select", f"{listed.index('p.html') + 1}", "--outdir", "some"]) == 0
+    assert [p.name for p in (home / "some").iterdir()] == ["a-b"] and "1 image(s)" in capsys.readouterr().out
+    assert main(["convert", "nothing.pdf"]) == 1 and main(["convert", str(folder), "--select", "99"]) == 1
+    assert main(["summarize", two[0], "--model", "m1"]) == 0 and "using m1" in (home / "outputs" / "m.summary.md").read_text()
+    monkeypatch.setattr("sys.stdin", ["text-embedding-3\n", "gpt-5.4\n"])
+    capsys.readouterr()
+    assert main(["summarize", "--list-models"]) == 0 and capsys.readouterr().out.splitlines()[0] == "gpt-5.4"
