@@ -23,6 +23,8 @@ from quire.operators.blocks import numbered_images
 ITEMS = "path string, page_count int, title string, page int, pos int, kind string, text string, size double, x0 double, y0 double, xref long, width int, height int, ext string, data binary, error string"
 #: Lines of one size at most so many times it apart are of one paragraph.
 PARAGRAPH_GAP = 1.6
+#: A frame that leaves a Python worker has so many rows, or bytes of text and images, at most (one row may have more).
+FRAME_ROWS, FRAME_BYTES = 4096, 1 << 23
 SCANNED = "no extractable text found — this may be a scanned PDF (no OCR is performed)"
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
@@ -188,25 +190,38 @@ def page_items(file: File, page: bytes) -> Iterator[dict]:
         args = []
 
 
+def _file_rows(path: str, content: bytes) -> list[dict]:
+    """Rows of one file; if it cannot be read, one row with the error."""
+    try:
+        file = File(content)
+        pages, title = file.pages(), file.title()
+        of = {"path": path, "page_count": len(pages), "title": title, "error": None}
+        rows = [{**of, "page": -1, "pos": -1, "kind": "file"}]
+        rows += [{**of, "page": -1, "pos": k, "kind": "outline", "text": t, "width": level} for k, (level, t) in enumerate(file.outline())]
+        for n, page in enumerate(pages):
+            try:
+                rows += [{**of, "page": n, "pos": k, **i} for k, i in enumerate(page_items(file, page))]
+            except Exception as e:  # noqa: BLE001 - nor is one bad page the end of its file
+                rows.append({**of, "page": n, "pos": -1, "kind": "note", "text": f"page {n + 1} could not be read: {e or type(e).__name__}"})
+        return rows
+    except Exception as e:  # noqa: BLE001 - one bad file is data
+        return [{"path": path, "error": str(e) or type(e).__name__}]
+
+
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of many small files in one frame, whose making costs more than the reading of such a file."""
     names = [c.split()[0] for c in ITEMS.split(", ")]
+    rows, held = [], 0
     for b in batches:
         for path, content in zip(b["path"], b["content"]):
-            rows = []
-            try:
-                file = File(bytes(content))
-                pages, title = file.pages(), file.title()
-                of = {"path": path, "page_count": len(pages), "title": title, "error": None}
-                rows.append({**of, "page": -1, "pos": -1, "kind": "file"})
-                rows += [{**of, "page": -1, "pos": k, "kind": "outline", "text": t, "width": level} for k, (level, t) in enumerate(file.outline())]
-                for n, page in enumerate(pages):
-                    try:
-                        rows += [{**of, "page": n, "pos": k, **i} for k, i in enumerate(page_items(file, page))]
-                    except Exception as e:  # noqa: BLE001 - nor is one bad page the end of its file
-                        rows.append({**of, "page": n, "pos": -1, "kind": "note", "text": f"page {n + 1} could not be read: {e or type(e).__name__}"})
-            except Exception as e:  # noqa: BLE001 - one bad file is data
-                rows = [{"path": path, "error": str(e) or type(e).__name__}]
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+            for row in _file_rows(path, bytes(content)):
+                rows.append(row)
+                held += len(row.get("text") or "") + len(row.get("data") or b"")
+                if len(rows) >= FRAME_ROWS or held >= FRAME_BYTES:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def items(files: DataFrame) -> DataFrame:
